@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import itertools
+import os
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -171,7 +173,7 @@ def encode_block(texts: list[str], words: WordIds, with_ids: bool = True) -> tup
     ends_of = bounds[1:].copy()
     ends_of[edge] = bounds[:-1][edge]  # an empty word
     a, b = starts.tolist(), ends_of.tolist()
-    numbers = np.fromiter((words[joined[i:j]] for i, j in zip(a, b)), dtype=np.int64, count=len(a))
+    numbers = np.fromiter(map(words.__getitem__, map(joined.__getitem__, map(slice, a, b))), dtype=np.int64, count=len(a))
     begin = np.frombuffer(words.begin, dtype=np.int64)
     size = begin[numbers + 1] - begin[numbers]
     upto = np.concatenate([[0], np.cumsum(size)])
@@ -224,22 +226,36 @@ def token_ids(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TO
     return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, ids array<int>")
 
 
-def token_counts(documents: DataFrame, name: str, folder: str = TOKENIZERS) -> DataFrame:
-    """``doc_id`` and ``n_tokens`` of the whole text by a tokenizer file of any of the kinds; null and empty texts have 0."""
+def token_counts(documents: DataFrame, names: list[str], folder: str = TOKENIZERS) -> DataFrame:
+    """``doc_id`` and ``n_tokens``, the whole text's numbers of tokens by each of the tokenizer files; null and empty texts have 0."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(name, folder)
+        counters = [counter(name, folder) for name in names]
         for batch in batches:
-            counts = [c for block in blocks(batch.column(1).to_pylist()) for c in count(block)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], names=["doc_id", "n_tokens"])
+            at = 0
+            for block in blocks(batch.column(1).to_pylist()):
+                counts = [count(block) for count in counters]
+                each = pa.array([list(x) for x in zip(*counts)] if names else [[]] * len(block), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), each], names=["doc_id", "n_tokens"])
+                at += len(block)
+
+    return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, n_tokens array<int>")
+
 
-    return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, n_tokens int")
+class PieceCounts(dict):
+    """Numbers of tokens of the parts that begin with blanks and end before the next; no piece reaches over such a border."""
+
+    def __init__(self, model):
+        super().__init__({" ": 1, "▁": 1})
+        self.model = model
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self.model.encode(part[1:]))  # the model puts a blank before every text
+        return n
 
 
 def counter(name: str, folder: str):
     """A function from texts to their numbers of tokens."""
-    import os
-
     if os.path.exists(f"{folder}/{name}.tiktoken"):
         state = [WordIds(vocabulary(name, folder))]
 
@@ -253,7 +269,16 @@ def counter(name: str, folder: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{name}.model")
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+        if any(re.search("[^▁]▁", model.id_to_piece(i)) for i in range(len(model))) or model.encode(" a  b", out_type=str) != ["▁", "▁a", "▁", "▁b"]:
+            return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+        parts, memory = re.compile("[ ▁]+[^ ▁]*"), [PieceCounts(model)]
+
+        def pieces(texts: list[str]) -> list[int]:
+            if len(memory[0]) > MEMORY_WORDS:
+                memory[0] = PieceCounts(model)
+            return [sum(map(memory[0].__getitem__, parts.findall(" " + t))) if t else 0 for t in texts]
+
+        return pieces
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(f"{folder}/{name}.json")
