@@ -76,9 +76,9 @@ def duckdb_pass(con, files: list[tuple[list[int], list[str]]], delimiter: str, w
             longest = max(longest, os.path.getsize(paths[-1]))
         columns = {"ordinal": "BIGINT"} | {f"c{k}": "VARCHAR" for k in range(width)}
         line = min(longest + 1024, max(2_000_000, 4 * max(len(r) for _, records in files for r in records) + 1024))
-        got = con.execute(
+        got = con.sql(
             f"select * from read_csv($files, delim=$delim, quote='\"', escape='\"', header=false, auto_detect=false, columns={columns!r}, store_rejects=true, strict_mode=true, new_line='\\n', nullstr='\x01', parallel=false, max_line_size={line}, buffer_size={2 * line})",
-            {"files": paths, "delim": delimiter},
+            params={"files": paths, "delim": delimiter},
         ).to_arrow_table()
         errors = con.execute("select csv_line, error_type from reject_errors").fetchall()
         con.execute("drop table reject_errors; drop table reject_scans")
@@ -135,7 +135,7 @@ def split_batch(con, pdf: pd.DataFrame, headers: dict, with_fields: bool) -> pd.
         fields[i] = d if with_fields else None
     given = pd.DataFrame({"id": np.array(good, dtype="int64"), "siret": pd.Series(values[good, 0] if good else [], dtype="string"), "day": pd.Series(values[good, 1] if good else [], dtype="string"), "amount": pd.Series(values[good, 2] if good else [], dtype="string")})
     con.register("given", given)
-    typed = con.execute(VALUES).to_arrow_table()
+    typed = con.sql(VALUES).to_arrow_table()
     con.unregister("given")
     siret, day, amount = (np.full(n, None, dtype=object) for _ in range(3))
     for i, s, d, a, why in zip(*(typed.column(k).to_pylist() for k in range(5))):
