@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, written once to the shared checkpoint folder and read again from there.
+    """``df``, written once as a table to the shared checkpoint folder and read again from there.
 
-    The folder is spark.checkpoint.dir; a folder of our own is set only where that is unset, as in tests.
+    The folder is spark.checkpoint.dir; a folder of our own is used only where that is unset, as in tests.
+    The table stays readable while the session lasts, whatever executors are lost, and is removed after it.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ledgerlink-checkpoint"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ledgerlink-checkpoint")
+    path = f"{base}/ledgerlink-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if spark.sparkContext.applicationId not in _cleaned:
+        _cleaned.add(spark.sparkContext.applicationId)
+        atexit.register(_remove, spark, os.path.dirname(path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_cleaned: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    except Exception:  # the session is gone already
+        pass
 
 
 def packed(df: DataFrame, name: str) -> Column:
