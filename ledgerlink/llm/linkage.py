@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,10 @@ LEVELS = {
 }
 #: Least confidence of a match.
 CONFIDENCE = 0.5
-FIELDS = "kind string, label string, glued string, turned string, postal string, department string, city string, number string, street string, keys array<string>"
+FIELDS = "kind string, label string, glued string, turned string, postal string, department string, city string, number string, street string, keys array<bigint>"
 
 
+@lru_cache(maxsize=100_000)
 def city_name(text: str | None) -> str:
     """A commune's name, glued: saints written out, without CEDEX, district or country."""
     t = re.sub(r"[^A-Z0-9]+", " ", folded(text or ""))
@@ -39,11 +42,16 @@ def city_name(text: str | None) -> str:
     return re.sub(r"\b(S)\b", "SUR", t).replace(" ", "")
 
 
+@lru_cache(maxsize=100_000)
+def street_name(text: str) -> str:
+    """The words that tell streets of a commune apart, glued."""
+    return "".join(w for w in re.findall(r"[A-Z]+", folded(text)) if w not in STREET_TYPES and w not in STREET_WORDS and len(w) > 1)
+
+
 def street_parts(text: str | None, number: str | None = None) -> tuple[str, str]:
-    """House number and the words that tell streets of a commune apart."""
-    words = re.findall(r"[A-Z]+|\d+", folded(text or ""))
-    digits = re.sub(r"\D", "", number or "") or next((w for w in words if w.isdigit()), "")
-    return digits.lstrip("0"), "".join(w for w in words if not w.isdigit() and w not in STREET_TYPES and w not in STREET_WORDS and len(w) > 1)
+    """House number and street name, the number from the text if it isn't given."""
+    digits = re.sub(r"\D", "", number or "") or ((m := re.search(r"\d+", text or "")) and m[0]) or ""
+    return digits.lstrip("0"), street_name(text or "")
 
 
 def record(name: str | None, postal: str | None, city: str | None, number: str | None, street: str | None, cedex: dict[str, str]) -> tuple:
@@ -65,19 +73,19 @@ def record(name: str | None, postal: str | None, city: str | None, number: str |
                     keys += [f"d{department}{end}{cut_to(6)}"] * bool(department) + [f"t{stem[:4]}{end}{cut_to(5)}"] * (len(stem) >= 4)
     if no and way:
         keys += [f"a{code}{no}{way}"] * bool(code) + [f"b{place}{no}{way}"] * bool(place)
-    return kind, label, "".join(words), "".join(words[::-1]), code, department, place, no, way, keys
+    return kind, label, "".join(words), "".join(words[::-1]) if len(words) > 1 else "", code, department, place, no, way, [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys]
 
 
-def records(df: DataFrame, ids: str, cedex: dict[str, str]) -> DataFrame:
+def records(df: DataFrame, cedex: dict[str, str]) -> DataFrame:
     """FIELDS for rows with ``id, name, postal, city, number, street``."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [record(*row, cedex) for row in zip(*(c.to_pylist() for c in batch.columns[1:]))]
-            columns = [pa.array([g[k] for g in got], pa.string() if k < 9 else pa.list_(pa.string())) for k in range(10)]
+            columns = [pa.array([g[k] for g in got], pa.string() if k < 9 else pa.list_(pa.int64())) for k in range(10)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "kind", "label", "glued", "turned", "postal", "department", "city", "number", "street", "keys"])
 
-    return df.select("id", "name", "postal", "city", "number", "street").mapInArrow(work, f"id {ids}, {FIELDS}")
+    return df.select("id", "name", "postal", "city", "number", "street").mapInArrow(work, f"id bigint, {FIELDS}")
 
 
 def registry_variants(etab: DataFrame) -> DataFrame:
@@ -97,7 +105,8 @@ def levels(x: str, y: str) -> list[Column]:
     a, b = lambda c: F.col(f"{x}.{c}"), lambda c: F.col(f"{y}.{c}")
     none = lambda c: (a(c) == "") | (b(c) == "")
     size = F.greatest(F.length(a("glued")), F.length(b("glued")))
-    distance = F.least(F.levenshtein(a("glued"), b("glued")), F.levenshtein(a("glued"), b("turned")), F.levenshtein(a("turned"), b("glued")))
+    turned = lambda p, q: F.when(p("turned") == "", 99).otherwise(F.levenshtein(p("turned"), q("glued")))
+    distance = F.least(F.levenshtein(a("glued"), b("glued")), turned(a, b), turned(b, a))
     name = F.when(none("glued"), 3).when(distance == 0, 0).when(distance <= F.when(size <= 5, 1).when(size <= 8, 2).otherwise(3), 1).when(distance <= 0.36 * size, 2).otherwise(4)
     initial = (a("kind") == "person") & (b("kind") == "person") & (F.startswith(a("label"), b("label")) | F.startswith(b("label"), a("label")))
     label = F.when(none("label"), 1).when((a("label") == b("label")) | initial, 0).otherwise(2)
@@ -155,7 +164,7 @@ def matched_establishments(extraction: DataFrame, etab: DataFrame, commune: Data
     columns are ignored.
 
     Blocking in several passes: name ends within postal code, commune, department or beginning of the
-    commune's name, and equal addresses. All pairs of all passes are compared; their counts by pattern, of
+    commune's name, and equal addresses; keys are hashed, and two that fall together only add a pair. All pairs of all passes are compared; their counts by pattern, of
     which there are fewer than 4,000, reach the driver.
     """
     cedex = {r.code_cedex: r.code_postal for r in commune.where("code_cedex is not null").select("code_cedex", "code_postal").collect()}  # a fixed table of communes
@@ -163,12 +172,12 @@ def matched_establishments(extraction: DataFrame, etab: DataFrame, commune: Data
     raw = extraction.where("row_id is not null").select("row_id", field("company_name_raw").alias("name"), field("postal_code").alias("postal"), field("city").alias("city"), F.lit(None).cast("string").alias("number"), field("address_fragment").alias("street"))
     raw = raw.groupBy("row_id").agg(F.min(F.struct("name", "postal", "city", "number", "street")).alias("x")).select("row_id", "x.*")
     content = ["name", "postal", "city", "number", "street"]
-    asked = cut(raw.groupBy(*content).agg(F.min("row_id").alias("id"))).where("coalesce(name, street) is not null")
-    left = cut(records(asked, "string", cedex))
+    asked = cut(raw.where("coalesce(name, street) is not null").select(*content).distinct().withColumn("id", F.monotonically_increasing_id()))
+    left = cut(records(asked, cedex))
     variants = cut(registry_variants(etab).withColumn("id", F.monotonically_increasing_id()))
-    right = cut(records(variants, "bigint", cedex))
+    right = cut(records(variants, cedex))
 
-    keys = lambda df, name: df.select(F.col("id").alias(name), F.explode("keys").alias("key")).select(name, F.xxhash64("key").alias("key"))
+    keys = lambda df, name: df.select(F.col("id").alias(name), F.explode("keys").alias("key"))
     pairs = keys(left, "l").join(keys(right, "r"), "key").select("l", "r").distinct()
     compared = pairs.join(left.alias("x"), F.col("l") == F.col("x.id")).join(right.alias("y"), F.col("r") == F.col("y.id")).select("l", "r", *levels("x", "y"), F.levenshtein("x.glued", "y.glued").alias("off"))
     elsewhere = (F.col("postal") == 3) & (F.col("city") == 3)

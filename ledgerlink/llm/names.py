@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -40,6 +40,8 @@ APART = -5.0
 
 def folded(text: str) -> str:
     """Upper case without accents; text that was decoded wrongly once is decoded again."""
+    if text.isascii():
+        return text.upper()
     if "Ã" in text or "Â" in text:
         try:
             text = re.sub("[ÃÂ][\u0080-¿Œ-Ÿ–-›€™]", lambda m: m[0].encode("cp1252").decode("utf-8"), text)
@@ -79,7 +81,7 @@ def sound(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
 
-@cache
+@lru_cache(maxsize=200_000)
 def word_role(word: str) -> tuple[str, str] | None:
     """What a word plainly says beside the name proper: (trade, TRADE), (given, NAME), (form, FORM) or (title, TITLE)."""
     if word in LEGAL_FORMS:
@@ -100,7 +102,7 @@ def word_role(word: str) -> tuple[str, str] | None:
     return None
 
 
-@cache
+@lru_cache(maxsize=200_000)
 def misspelt_role(word: str) -> tuple[str, str] | None:
     """The trade or given name that the word seems to be, with an edit or two."""
     if len(word) >= 5:
@@ -111,6 +113,7 @@ def misspelt_role(word: str) -> tuple[str, str] | None:
     return None
 
 
+@lru_cache(maxsize=200_000)
 def parsed(raw: str | None) -> tuple[str, str, list[str]] | None:
     """Kind (firm, person or blank), label and the words of the name proper as they sound; None for blank and catch-all names.
 
