@@ -189,7 +189,7 @@ def matched_establishments(extraction: DataFrame, etab: DataFrame, commune: Data
     table = compared.sparkSession.createDataFrame([(*p, x) for p, x in weights.items()], ", ".join(f"{n} int" for n in names) + ", confidence double")
     scored = compared.join(F.broadcast(table), names).where(F.col("confidence") >= least)
     office = etab.groupBy("siret").agg(F.max(F.coalesce("etablissementSiege", F.lit(False))).alias("head"))
-    scored = scored.join(variants.select(F.col("id").alias("r"), "siret"), "r").groupBy("l", "siret").agg(F.max(F.struct("confidence", (-F.col("off")).alias("off"))).alias("best")).join(office, "siret")
+    scored = scored.select("l", "r", "confidence", "off").join(variants.select(F.col("id").alias("r"), "siret"), "r").groupBy("l", "siret").agg(F.max(F.struct("confidence", (-F.col("off")).alias("off"))).alias("best")).join(office, "siret")
     first = Window.partitionBy("l").orderBy(F.col("best.confidence").desc(), F.col("best.off").desc(), F.col("head").desc(), "siret")
     chosen = scored.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("l").alias("id"), "siret", F.col("best.confidence").alias("confidence"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in content]

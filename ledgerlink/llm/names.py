@@ -32,7 +32,7 @@ REMARKS = re.compile(r"\(?NE PAS UTILISER\)?|\(?EX[- ]CLIENT\)?|\(?ANCIEN\)?|- *
 NOBODY = "A AUTRE AUTRES CLIENT CLIENTS COMPTE DIVERS FOURNISSEUR FOURNISSEURS INCONNU NA NC NEANT SANS NOM TEST X XX XXX".split()
 
 #: Least cosine of two spellings, and least average similarity of two groups that are joined.
-COSINE, LINKAGE = 0.15, 0.3
+COSINE, LINKAGE = 0.25, 0.3
 GRAM = 3
 #: Similarity of spellings that the registry gives to two different units.
 APART = -5.0
@@ -174,7 +174,11 @@ def spellings(names: DataFrame) -> DataFrame:
 
 
 def gram_vectors(classes: DataFrame) -> DataFrame:
-    """``id, gram, weight``: character n-grams of the words, weighted by rarity, of unit length for each id."""
+    """``id, gram, weight, leads``: character n-grams of the words, weighted by rarity, of unit length for each id.
+
+    Without its grams that don't lead, the most common ones, a vector misses less than COSINE of its
+    length: two vectors of that cosine share a leading gram.
+    """
     padded = F.transform("words", lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     grams = F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (GRAM - 1), F.lit(1))), lambda i: F.substring(w, i, GRAM))))
     each = classes.select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
@@ -182,25 +186,26 @@ def gram_vectors(classes: DataFrame) -> DataFrame:
     # letters, digits and the blank give fewer than 38**3 grams: the bound of this broadcast
     rarity = each.groupBy("gram").agg(F.log(F.lit(1.0) + F.lit(float(total)) / F.count("*")).alias("idf"))
     raw = each.join(F.broadcast(rarity), "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).select("id", "gram", "weight")
+    common_first = Window.partitionBy("id").orderBy("idf", F.col("gram").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    unit = raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id"))))
+    return unit.withColumn("leads", F.sum(F.col("weight") * F.col("weight")).over(common_first) >= COSINE * COSINE).select("id", "gram", "weight", "leads")
 
 
 def similar_spellings(classes: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of ids whose names are near enough, with their similarity: the cosine, or what the edits leave if that is more.
 
-    A sparse product over shared grams within one label; those without a label, or with an initial only,
-    meet all. No partner is dropped. Then an exact check: the glued names, in either order of their words,
-    differ by few edits for their length.
+    Names that share a leading gram meet, within one label; those without a label, or with an initial
+    only, meet all. No partner is dropped. An exact check follows: the glued names, in either order of
+    their words, differ by few edits for their length. What is left gets its exact cosine, as a sparse
+    product over all shared grams.
     """
-    c = classes.withColumn("glued", F.concat_ws("", "words")).withColumn("turned", F.concat_ws("", F.reverse("words")))
-    c = c.withColumn("open", (F.length("label") <= 1))
+    c = classes.withColumn("glued", F.concat_ws("", "words")).withColumn("turned", F.concat_ws("", F.reverse("words"))).withColumn("open", F.length("label") <= 1)
     v = cut(gram_vectors(c).join(c.select("id", "label", "open", F.length("glued").alias("size")), "id"))
     near = F.abs(F.col("x.size") - F.col("y.size")) <= 4
-    x, y = v.alias("x"), v.alias("y")
-    dot = F.col("x.weight") * F.col("y.weight")
-    same = x.where("not open").join(y.where("not open"), (F.col("x.label") == F.col("y.label")) & (F.col("x.gram") == F.col("y.gram")) & near & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), dot.alias("d"))
-    lone = x.where("open").join(y, (F.col("x.gram") == F.col("y.gram")) & near & ((F.col("x.id") < F.col("y.id")) | ~F.col("y.open"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), dot.alias("d"))
-    pairs = same.unionByName(lone).groupBy("a", "b").agg(F.sum("d").alias("cosine")).where(F.col("cosine") >= COSINE)
+    x, y = v.where("leads").alias("x"), v.where("leads").alias("y")
+    same = x.where("not open").join(y.where("not open"), (F.col("x.label") == F.col("y.label")) & (F.col("x.gram") == F.col("y.gram")) & near & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    lone = x.where("open").join(y, (F.col("x.gram") == F.col("y.gram")) & near & ((F.col("x.id") < F.col("y.id")) | ~F.col("y.open"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    pairs = same.unionByName(lone).distinct()
     side = c.select("id", "kind", "label", "glued", "turned", "siren")
     both = pairs.join(side.select([F.col(n).alias(f"a_{n}") for n in side.columns]), F.col("a") == F.col("a_id")).join(side.select([F.col(n).alias(f"b_{n}") for n in side.columns]), F.col("b") == F.col("b_id"))
     size = F.greatest(F.length("a_glued"), F.length("b_glued"))
@@ -208,9 +213,12 @@ def similar_spellings(classes: DataFrame) -> DataFrame:
     distance = F.least(F.levenshtein("a_glued", "b_glued"), F.levenshtein("a_glued", "b_turned"), F.levenshtein("a_turned", "b_glued"))
     fits = (F.col("a_label") == F.col("b_label")) | (F.col("a_label") == "") | (F.col("b_label") == "")
     fits = fits | (F.col("a_kind") == "person") & (F.col("b_kind") == "person") & (F.startswith("a_label", "b_label") | F.startswith("b_label", "a_label"))
-    near = both.where(fits).withColumn("distance", distance).where(F.col("distance") <= most)
-    apart = F.col("a_siren") != F.col("b_siren")  # two units of the registry
-    return near.select("a", "b", F.when(apart, APART).otherwise(F.greatest("cosine", 1 - 2 * F.col("distance") / size)).alias("similarity"))
+    close = both.where(fits).withColumn("distance", distance).where(F.col("distance") <= most)
+    close = cut(close.select("a", "b", (1 - 2 * F.col("distance") / size).alias("kept"), F.coalesce(F.col("a_siren") != F.col("b_siren"), F.lit(False)).alias("apart")))
+    weights = v.select("id", "gram", "weight")
+    product = close.join(weights.withColumnsRenamed({"id": "a", "weight": "wa"}), "a").join(weights.withColumnsRenamed({"id": "b", "weight": "wb"}), ["b", "gram"])
+    cosine = product.groupBy("a", "b", "kept", "apart").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= COSINE)
+    return cosine.select("a", "b", F.when(F.col("apart"), APART).otherwise(F.greatest("cosine", "kept")).alias("similarity"))
 
 
 def average_linkage(weights: DataFrame, edges: DataFrame, least: float = LINKAGE) -> DataFrame:
