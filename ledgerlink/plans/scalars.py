@@ -69,52 +69,52 @@ def family(x: str) -> str:
     return "case " + " ".join(f"when regexp_matches({t}, '{p}') then '{v}'" for p, v in tests) + " else '' end"
 
 
-def over(name: str, source: str, columns: list, sql: list[str]):
-    """A query that adds expressions to a table: (alias, function of F.col) and SQL in the same order."""
+def over(name: str, source: str, aliases: list[str], columns, sql: list[str]):
+    """A query that adds expressions to a table; ``columns`` makes them once there is a session."""
     keys = ["row_id"] if source in ("erp_row", "extraction") else ["line_id"] if source == "upload_raw" else ["delivery_id"]
-    body = ", ".join([*keys, *(f"{s} as {a}" for (a, _), s in zip(columns, sql))])
+    body = ", ".join([*keys, *(f"{s} as {a}" for a, s in zip(aliases, sql))])
 
     @query(name, f"select {body} from {source}")
     def run(spark, sf_dir):
-        return table(spark, sf_dir, source).select(*keys, *[f.alias(a) for a, f in columns])
+        return table(spark, sf_dir, source).select(*keys, *[f.alias(a) for a, f in zip(aliases, columns())])
 
     return run
 
 
 C = F.col
 NAME = "Original_Name"
-over("fold_text", "erp_row", [("folded", N.fold_french(N.text(C(NAME)))), ("comparable", N.comparable(C(NAME)))],
+over("fold_text", "erp_row", ["folded", "comparable"], lambda: [N.fold_french(N.text(C(NAME))), N.comparable(C(NAME))],
      [plain(f"replace(replace(replace(replace(coalesce({NAME}, ''), 'œ', 'oe'), 'Œ', 'OE'), 'æ', 'ae'), 'Æ', 'AE')"), tidy(f"upper({plain(f"replace(replace(replace(replace(coalesce({NAME}, ''), 'œ', 'oe'), 'Œ', 'OE'), 'æ', 'ae'), 'Æ', 'AE')")})")])
-over("normalize_base", "erp_row", [("base", N.base(C(NAME))), ("alnum", N.alnum(C(NAME))), ("token", N.token(C(NAME)))], [base(NAME), alnum(NAME), f"regexp_replace({base(NAME)}, '[^A-Za-z0-9_]', '', 'g')"])
-over("strip_legal", "erp_row", [("name", N.strip_legal_forms(C(NAME)))], [stripped(NAME)])
-over("core_name", "erp_row", [("core", N.core_name(C(NAME)))], [core(NAME)])
-over("drop_stopwords", "erp_row", [("kept", F.concat_ws(" ", N.drop_stopwords(C(NAME))))], [f"array_to_string(list_filter({words(base(NAME))}, lambda w: w not in ({listed(N.STOPWORDS)})), ' ')"])
-over("expand_abbrev", "erp_row", [("address", N.expand_abbreviations(C("Original_Address"))), ("hinted", N.ocr_hints(C("Original_Address")))], [expanded("Original_Address"), hinted("Original_Address")])
-over("normalize_city", "erp_row", [("city", N.city(C("Original_City")))], [mapped(f"({expanded(hinted('Original_City'))})", N.CITY_ALIASES)])
-over("normalize_address", "erp_row", [("address", N.address(C("Original_Address")))], [tidy(f"regexp_replace({expanded(hinted('Original_Address'))}, '[^A-Za-z0-9_\\s]', ' ', 'g')")])
-over("verified_core_name", "erp_row", [("core", N.verified_core_name(C(NAME)))], [f"nullif({tidy(f"regexp_replace(regexp_replace({base(NAME)}, '{N.LEGAL_FORM_PATTERN}', ' ', 'g'), '{N.NOISE_PATTERN}', ' ', 'g')")}, '')"])
-over("identifier_digits", "erp_row", [("siret", N.fixed_digits(C("Original_SIRET"), 14)), ("siren", N.fixed_digits(C("Original_SIREN"), 9)), ("padded", N.padded_siret(C("Original_SIRET"))), ("repaired", N.repaired_number(C("Original_SIRET")))],
+over("normalize_base", "erp_row", ["base", "alnum", "token"], lambda: [N.base(C(NAME)), N.alnum(C(NAME)), N.token(C(NAME))], [base(NAME), alnum(NAME), f"regexp_replace({base(NAME)}, '[^A-Za-z0-9_]', '', 'g')"])
+over("strip_legal", "erp_row", ["name"], lambda: [N.strip_legal_forms(C(NAME))], [stripped(NAME)])
+over("core_name", "erp_row", ["core"], lambda: [N.core_name(C(NAME))], [core(NAME)])
+over("drop_stopwords", "erp_row", ["kept"], lambda: [F.concat_ws(" ", N.drop_stopwords(C(NAME)))], [f"array_to_string(list_filter({words(base(NAME))}, lambda w: w not in ({listed(N.STOPWORDS)})), ' ')"])
+over("expand_abbrev", "erp_row", ["address", "hinted"], lambda: [N.expand_abbreviations(C("Original_Address")), N.ocr_hints(C("Original_Address"))], [expanded("Original_Address"), hinted("Original_Address")])
+over("normalize_city", "erp_row", ["city"], lambda: [N.city(C("Original_City"))], [mapped(f"({expanded(hinted('Original_City'))})", N.CITY_ALIASES)])
+over("normalize_address", "erp_row", ["address"], lambda: [N.address(C("Original_Address"))], [tidy(f"regexp_replace({expanded(hinted('Original_Address'))}, '[^A-Za-z0-9_\\s]', ' ', 'g')")])
+over("verified_core_name", "erp_row", ["core"], lambda: [N.verified_core_name(C(NAME))], [f"nullif({tidy(f"regexp_replace(regexp_replace({base(NAME)}, '{N.LEGAL_FORM_PATTERN}', ' ', 'g'), '{N.NOISE_PATTERN}', ' ', 'g')")}, '')"])
+over("identifier_digits", "erp_row", ["siret", "siren", "padded", "repaired"], lambda: [N.fixed_digits(C("Original_SIRET"), 14), N.fixed_digits(C("Original_SIREN"), 9), N.padded_siret(C("Original_SIRET")), N.repaired_number(C("Original_SIRET"))],
      [f"case when length({digits('Original_SIRET')}) = 14 then {digits('Original_SIRET')} else '' end", f"case when length({digits('Original_SIREN')}) = 9 then {digits('Original_SIREN')} else '' end",
       f"case when length({digits('Original_SIRET')}) in (12, 13) then lpad({digits('Original_SIRET')}, 14, '0') end", r"case when regexp_full_match(replace(trim(coalesce(Original_SIRET, '')), ',', '.'), '[0-9]+(\.[0-9]+)?[eE]\+?[0-9]+') then '' else trim(coalesce(Original_SIRET, '')) end"])
 CP = "trim(coalesce(Original_CP, ''))"
-over("department_codes", "erp_row", [(k, N.department(C("Original_CP"), k)) for k in ("search", "score", "plain")],
+over("department_codes", "erp_row", ["search", "score", "plain"], lambda: [N.department(C("Original_CP"), "search"), N.department(C("Original_CP"), "score"), N.department(C("Original_CP"), "plain")],
      [f"case when length({CP}) < 2 then '' when {CP} like '97%' and length({CP}) >= 3 then {CP}[1:3] else {CP}[1:2] end",
       f"case when length({digits('Original_CP')}) < 2 then '' when regexp_matches({digits('Original_CP')}, '^9[78]') then {digits('Original_CP')}[1:3] else {digits('Original_CP')}[1:2] end", f"{CP}[1:2]"])
 TD = "trim(coalesce(Transaction_Date, ''))"
 DATE = rf"regexp_extract({TD}, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) || regexp_replace(regexp_extract({TD}, '^([0-9]{{2}}[/-][0-9]{{2}}[/-][0-9]{{4}})$', 1), '^(..).(..).(....)$', '\3-\2-\1')"
-over("date_normalize", "erp_row", [("day", N.iso_date(C("Transaction_Date")))], [DATE])
-over("txn_date_detect", "extraction", [("day", F.coalesce(F.nullif(F.regexp_extract("row_text", r"\b(20\d{2}-\d{2}-\d{2})\b", 1), F.lit("")), F.nullif(N.iso_date(F.regexp_extract("row_text", r"\b(\d{2}[/-]\d{2}[/-]20\d{2})\b", 1)), F.lit(""))))],
+over("date_normalize", "erp_row", ["day"], lambda: [N.iso_date(C("Transaction_Date"))], [DATE])
+over("txn_date_detect", "extraction", ["day"], lambda: [F.coalesce(F.nullif(F.regexp_extract("row_text", r"\b(20\d{2}-\d{2}-\d{2})\b", 1), F.lit("")), F.nullif(N.iso_date(F.regexp_extract("row_text", r"\b(\d{2}[/-]\d{2}[/-]20\d{2})\b", 1)), F.lit("")))],
      [r"coalesce(nullif(regexp_extract(row_text, '\b(20[0-9]{2}-[0-9]{2}-[0-9]{2})\b', 1), ''), nullif(regexp_replace(regexp_extract(row_text, '\b([0-9]{2}[/-][0-9]{2}[/-]20[0-9]{2})\b', 1), '^(..).(..).(....)$', '\3-\2-\1'), ''))"])
-over("first_present", "erp_row", [("value", N.first_present(C("Original_SIRET"), C("Original_SIREN"), C(NAME)))], [f"coalesce(nullif(trim(Original_SIRET), ''), nullif(trim(Original_SIREN), ''), nullif(trim({NAME}), ''), '')"])
-over("raw_hash", "erp_row", [("hash", N.short_hash(N.digits(C("Original_SIRET"))))], [f"lpad(lower(printf('%x', list_reduce(list_prepend(5381::bigint, list_transform(list_filter(string_split({digits('Original_SIRET')}, ''), lambda x: x <> ''), lambda x: ascii(x)::bigint)), lambda h, x: (h * 33 + x) % 2147483648))), 8, '0')"])
-over("html_escape", "upload_raw", [("escaped", N.html_escape(C("raw")))], ["replace(replace(replace(replace(coalesce(raw, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"])
-over("pipe_list", "upload_raw", [("parts", F.size(N.pipe_list(C("raw"))))], [f"len(list_filter(list_transform(string_split(coalesce(raw, ''), '|'), lambda x: {tidy('x')}), lambda x: x <> ''))::int"])
-over("legal_family", "erp_row", [("family", S.legal_family(C(NAME)))], [family(NAME)])
+over("first_present", "erp_row", ["value"], lambda: [N.first_present(C("Original_SIRET"), C("Original_SIREN"), C(NAME))], [f"coalesce(nullif(trim(Original_SIRET), ''), nullif(trim(Original_SIREN), ''), nullif(trim({NAME}), ''), '')"])
+over("raw_hash", "erp_row", ["hash"], lambda: [N.short_hash(N.digits(C("Original_SIRET")))], [f"lpad(lower(printf('%x', list_reduce(list_prepend(5381::bigint, list_transform(list_filter(string_split({digits('Original_SIRET')}, ''), lambda x: x <> ''), lambda x: ascii(x)::bigint)), lambda h, x: (h * 33 + x) % 2147483648))), 8, '0')"])
+over("html_escape", "upload_raw", ["escaped"], lambda: [N.html_escape(C("raw"))], ["replace(replace(replace(replace(coalesce(raw, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"])
+over("pipe_list", "upload_raw", ["parts"], lambda: [F.size(N.pipe_list(C("raw")))], [f"len(list_filter(list_transform(string_split(coalesce(raw, ''), '|'), lambda x: {tidy('x')}), lambda x: x <> ''))::int"])
+over("legal_family", "erp_row", ["family"], lambda: [S.legal_family(C(NAME))], [family(NAME)])
 query("mojibake_repair")(lambda spark, sf_dir: table(spark, sf_dir, "erp_row").select("row_id", N.mojibake(C(NAME)).alias("name")))
-over("evidence_check", "extraction", [("backed", F.contains("row_text", F.col("fields").getItem("company_name_raw")["evidence_text"]))], ["contains(row_text, fields['company_name_raw'].evidence_text)"])
-over("street_parts", "erp_row", [("number", F.regexp_extract(N.text(C("Original_Address")), r"^\s*(\d+)", 1)), ("street", F.trim(F.regexp_replace(N.text(C("Original_Address")), r"^\s*\d+\s*", "")))], [r"regexp_extract(coalesce(Original_Address, ''), '^\s*([0-9]+)', 1)", r"trim(regexp_replace(coalesce(Original_Address, ''), '^\s*[0-9]+\s*', ''))"])
-over("address_tokens", "erp_row", [("tokens", F.concat_ws(" ", F.slice(F.filter(N.drop_stopwords(C("Original_Address")), lambda w: F.length(w) >= 3), 1, 8)))], [f"array_to_string(list_filter({words(base('Original_Address'))}, lambda w: w not in ({listed(N.STOPWORDS)}) and length(w) >= 3)[1:8], ' ')"])
-over("id_extraction", "extraction", [("ids", F.concat_ws(" ", F.regexp_extract_all("row_text", F.lit(r"(\d{9,14})"), 1)))], ["array_to_string(regexp_extract_all(row_text, '[0-9]{9,14}'), ' ')"])
+over("evidence_check", "extraction", ["backed"], lambda: [F.contains("row_text", F.col("fields").getItem("company_name_raw")["evidence_text"])], ["contains(row_text, fields['company_name_raw'].evidence_text)"])
+over("street_parts", "erp_row", ["number", "street"], lambda: [F.regexp_extract(N.text(C("Original_Address")), r"^\s*(\d+)", 1), F.trim(F.regexp_replace(N.text(C("Original_Address")), r"^\s*\d+\s*", ""))], [r"regexp_extract(coalesce(Original_Address, ''), '^\s*([0-9]+)', 1)", r"trim(regexp_replace(coalesce(Original_Address, ''), '^\s*[0-9]+\s*', ''))"])
+over("address_tokens", "erp_row", ["tokens"], lambda: [F.concat_ws(" ", F.slice(F.filter(N.drop_stopwords(C("Original_Address")), lambda w: F.length(w) >= 3), 1, 8))], [f"array_to_string(list_filter({words(base('Original_Address'))}, lambda w: w not in ({listed(N.STOPWORDS)}) and length(w) >= 3)[1:8], ' ')"])
+over("id_extraction", "extraction", ["ids"], lambda: [F.concat_ws(" ", F.regexp_extract_all("row_text", F.lit(r"(\d{9,14})"), 1))], ["array_to_string(regexp_extract_all(row_text, '[0-9]{9,14}'), ' ')"])
 
 
 @query("vat_split", "with v as (select line_id, upper(regexp_replace(coalesce(regexp_extract(raw, 'FR[0-9]{11}'), ''), '\\s', '', 'g')) as v from upload_raw) select line_id, case when v = '' then '' else v[1:2] end as country, v[3:] as number from v")
