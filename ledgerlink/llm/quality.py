@@ -25,13 +25,13 @@ SHAPE = {
     "table_share": 0.15,  # characters in rows of columns
     "list_share": 0.15,  # characters in short lines behind a bullet or number
     "vowel_share": 0.04,
-    "distinct_share": 0.25,  # different words among the first
+    "distinct_share": 0.25,  # different words within blocks of the text
     "long_share": 0.1,  # characters in stretches of 30 and more without a blank
 }
-STATS = ["n_words", "mean_word_length", "n_lines", *SHAPE, "damage_share", "lower_share"]
+STATS = ["n_words", "mean_word_length", "n_lines", *SHAPE, "damage_share", "lower_share", "repeated_share"]
 #: A text is an outlier beyond this squared distance, the 0.9 quantile of chi squared with 12 degrees of freedom.
 CUT = 18.5
-#: Words, from the beginning of a text, whose repetition is measured; a longer text would always repeat more.
+#: Words of the blocks, all through a text, within which repetition is measured; a longer block would always repeat more.
 DISTINCT_OF = 200
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -113,7 +113,7 @@ def text_stats(text: str, common: dict[str, frozenset[str]]) -> tuple[str | None
             whole += len(part)
             if len(w) >= 7 and (damage > 0.1 or sum(map(frequent.__contains__, w)) >= 0.15 * len(w)):
                 prose += len(part)
-    first = words[:DISTINCT_OF]
+    different = [(len(b), len(set(b))) for b in (words[i : i + DISTINCT_OF] for i in range(0, n, DISTINCT_OF))]
     return lang if hits else None, [
         n,
         letters / n if n else 0.0,
@@ -128,17 +128,18 @@ def text_stats(text: str, common: dict[str, frozenset[str]]) -> tuple[str | None
         min(1.0, rows / max(1, size)),
         min(1.0, listed / max(1, size)),
         sum(map(low.count, VOWELS)) / letters if letters else 0.0,
-        len(set(first)) / len(first) if first else 0.0,
+        sum(d for _, d in different) / n if n else 0.0,
         sum(len(x) for x in blocks if len(x) >= 30) / solid,
         damage,
         sum(map(str.islower, blocks)) / len(blocks) if blocks else 0.0,
+        sum(size for size, d in different if d < 4.5) / n if n else 0.0,
     ]
 
 
 def verdict(s: dict[str, float], outlier: bool) -> str:
     """The kind of a text of these statistics: prose unless it is an outlier whose greater part is something else."""
     n = s["n_words"]
-    repeated = n >= 10 and s["digit_share"] < 0.05 and s["distinct_share"] * min(n, DISTINCT_OF) < 4.5
+    repeated = n >= 10 and s["digit_share"] < 0.05 and s["repeated_share"] > 0.5
     hexadecimal = n >= 10 and s["digit_share"] > 0.35 and s["word_length"] < 2 and s["words_per_part"] >= 6 and s["table_share"] < 0.5
     other = s["prose_share"] < 0.4 or s["table_share"] > 0.5 or s["list_share"] > 0.5 and s["words_per_part"] < 7 or repeated or hexadecimal
     if not (outlier and other):

@@ -133,6 +133,16 @@ def test_quality_kinds(spark):
     assert quality.text_quality(df.limit(0), common).count() == 0
 
 
+def test_quality_measures_repetition_in_the_whole_text():
+    common = {"fr": frozenset("le la de".split())}
+    usual = " ".join("le mot" + "abcdefghij"[i % 10] * (1 + i // 10) for i in range(100)) + " "
+    kind = lambda t: quality.verdict(dict(zip(quality.STATS, quality.text_stats(t, common)[1])), True)
+    late, early = usual + "le la " * 500, "le la " * 100 + usual * 10
+    assert (kind(late), kind(early), kind("le la " * 500), kind(usual * 10)) == ("junk", "prose", "junk", "prose")
+    share = lambda t: quality.text_stats(t, common)[1][quality.STATS.index("distinct_share")]
+    assert share(usual * 10) == pytest.approx(share(usual)) and share(late) < 0.2 < 0.4 < share(early)
+
+
 def test_extraction_match(spark):
     unit = "struct<denominationUniteLegale:string,denominationUsuelle1UniteLegale:string,denominationUsuelle2UniteLegale:string,denominationUsuelle3UniteLegale:string,nomUniteLegale:string,prenom1UniteLegale:string>"
     place = "struct<numeroVoieEtablissement:string,libelleVoieEtablissement:string,codePostalEtablissement:string,libelleCommuneEtablissement:string>"
