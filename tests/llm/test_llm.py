@@ -109,6 +109,28 @@ def test_entity_pairs(spark):
     assert names.entity_pairs(df.limit(0)).count() == 0
 
 
+def test_blocking_meets_all_near_names_of_a_place(spark):
+    rng = np.random.default_rng(11)
+    bases = ["".join(rng.choice(list("AEIBRT"), n)) for n in (1, 2, 3, 5, 6, 8, 9, 12, 17) for _ in range(6)]
+
+    def typed(name):
+        for _ in range(int(rng.integers(0, 5))):
+            i = int(rng.integers(0, len(name) + 1))
+            name = name[:i] + str(rng.choice(["", "A", "X"])) + name[i + int(rng.integers(0, 2)) :]
+        return name
+
+    row = lambda k, name: (k, name, "", f"7500{k % 2}" if k % 3 else "", "LYON" if k % 5 else "")
+    rows = [[row(k, f(b)) for k, b in enumerate(bases * 3)] for f in (typed, str)]
+    rows = [[*r, (900, "ABRITETI", "TETIABRI", "75001", "")] for r in rows]
+    left, right = (spark.createDataFrame(r, "id bigint, glued string, turned string, postal string, city string") for r in rows)
+    with_ = [(x, y) for x in rows[0] for y in rows[1] if x[3] == y[3] != "" or x[4] == y[4] != ""]
+    pairs = [(x[0], y[0], a, b) for x, y in with_ for a in x[1:3] for b in y[1:3] if a and b]
+    off = spark.createDataFrame(pairs, "l bigint, r bigint, a string, b string").select("l", "r", F.levenshtein("a", "b").alias("d"), F.greatest(F.length("a"), F.length("b")).alias("n"))
+    want = {(r.l, r.r) for r in off.collect() if r.d <= linkage.edits_allowed(r.n)}
+    for piece in (7, 10**6):
+        assert {tuple(r) for r in linkage.near_pairs(left, right, piece).collect()} == want, piece
+
+
 def test_linkage_words_and_weights():
     assert linkage.city_name("St. Liigny Cedex 2") == linkage.city_name("SAINT-LIIGNY") == "SAINTLIIGNY"
     assert linkage.street_parts("56 rte du belvedere") == ("56", "BELVEDERE")
@@ -157,3 +179,21 @@ def test_extraction_match(spark):
     assert got.get("r0") == f"{0:014}" and got.get("r3") == f"{2:014}" and "r1" not in got and "r2" not in got
 
 
+
+
+def test_extraction_match_with_both_ends_of_the_name_misspelt(spark):
+    unit = ["denominationUniteLegale", "denominationUsuelle1UniteLegale", "denominationUsuelle2UniteLegale", "denominationUsuelle3UniteLegale", "nomUniteLegale", "prenom1UniteLegale"]
+    place = ["numeroVoieEtablissement", "libelleVoieEtablissement", "codePostalEtablissement", "libelleCommuneEtablissement"]
+    signs = ["enseigne1Etablissement", "enseigne2Etablissement", "enseigne3Etablissement", "denominationUsuelleEtablissement"]
+    struct = lambda c: f"struct<{', '.join(x + ':string' for x in c)}>"
+    schema = f"siret string, uniteLegale {struct(unit)}, adresseEtablissement {struct(place)}, periodesEtablissement array<{struct(signs)}>, etablissementSiege boolean, {', '.join(x + ' string' for x in signs)}"
+    names_ = ["AGENCE JANBRIGINDE EURL", *(f"GARAGE {w}" for w in "BRIMANOU CORDELAT FLUVARIN GASTOMIR HELVANOR JORMICAL".split())]
+    etab = [(f"{i:014}", (n, *[None] * 5), (None, "DES LILAS", "56220", "FAKARMONT"), None, True, *[None] * 4) for i, n in enumerate(names_)]
+    field = lambda v: (v, v, 0.9)
+    asked = [("r0", "AGENCE HENBRIGINE", None), *((f"r{i}", n, None) for i, n in enumerate(names_[1:], 1)), ("r9", None, "rue des Lilas")]
+    rows = [(i, {"company_name_raw": field(n), "postal_code": field("56220"), "city": field("FAKARMONT"), "address_fragment": field(s)}) for i, n, s in asked]
+    x = spark.createDataFrame(rows, "row_id string, fields map<string,struct<value:string,evidence_text:string,confidence:double>>")
+    got = linkage.matched_establishments(x, spark.createDataFrame(etab, schema), spark.createDataFrame([("56220", None)], "code_postal string, code_cedex string"), 0.0)
+    found = {r.row_id: r.siret for r in got.collect()}
+    assert found.pop("r9", None)  # by its street alone
+    assert found == {f"r{i}": f"{i:014}" for i in range(7)}
