@@ -174,34 +174,44 @@ def clamp_paging(nombre, debut, least: int, most: int, furthest: int, default: i
     return whole(nombre, default, least, most), whole(debut, 0, 0, furthest)
 
 
-def tiers(asked: DataFrame, registry: DataFrame, cap: int = 50, broad_cap: int = 20) -> DataFrame:
+def tiers(asked: DataFrame, registry: DataFrame, cap: int = 50, broad_cap: int = 20, near_cap: int = 20) -> DataFrame:
     """Candidates for names without identifier, from the narrowest tier that has any.
 
-    ``asked`` has ``id, name, postal``; ``registry`` is one row per siret. Tier 2: all words begin words of
-    a legal name within the postal code; tier 3: within the department; tier 5: anywhere, head offices
-    only. Rows whose tier 2 found something are left out of tier 3 by an anti-join, and so on, so that the
-    broad tier joins only what is left. Blocks are equal beginnings of two letters, and of six in the broad
-    tier; each pair is then checked. The caps are part of the search: the least sirets are kept.
+    ``asked`` has ``id, name, postal, city``; ``registry`` is one row per siret. All words begin words of
+    one field: the legal name, or in one period the sign or the usual name. Tier 2: within the postal code,
+    or a commune whose words all words of the city begin; tier 3: within the department; tier 5: anywhere,
+    head offices only. Rows whose tier 2 found something are left out of tier 3 by an anti-join, and so on,
+    so that the broad tier joins only what is left. Blocks are equal beginnings of two letters, and of six
+    in the broad tier; each pair is then checked. The caps are part of the search: the least sirets are kept.
     """
-    n = asked.select("id", N.comparable(F.col("name")).alias("n"), F.trim(F.coalesce("postal", F.lit(""))).alias("cp"))
-    n = n.withColumn("w", F.filter(F.split("n", "[^A-Z0-9]+"), lambda w: F.length(w) > 1)).where(F.size("w") > 0).withColumn("first", F.element_at("w", 1))
-    r = registry.select("siret", F.coalesce("etablissementSiege", F.lit(False)).alias("head"), F.filter(F.split(N.comparable(F.col("uniteLegale.denominationUniteLegale")), "[^A-Z0-9]+"), lambda w: w != "").alias("t"), F.col("adresseEtablissement.codePostalEtablissement").alias("rcp"))
+    split = lambda c: F.filter(F.split(N.comparable(c), "[^A-Z0-9]+"), lambda w: w != "")
+    n = asked.select("id", F.filter(split(F.col("name")), lambda w: F.length(w) > 1).alias("w"), F.trim(F.coalesce("postal", F.lit(""))).alias("cp"), split(F.col("city")).alias("c"))
+    n = n.where(F.size("w") > 0).withColumn("first", F.element_at("w", 1))
+    period = lambda field: F.coalesce(F.transform("periodesEtablissement", lambda p: split(p[field])), F.array().cast("array<array<string>>"))
+    fields = F.array_distinct(F.concat(F.array(split(F.col("uniteLegale.denominationUniteLegale"))), period("enseigne1Etablissement"), period("denominationUsuelleEtablissement")))
+    r = registry.select("siret", F.coalesce("etablissementSiege", F.lit(False)).alias("head"), F.explode(fields).alias("t"), F.col("adresseEtablissement.codePostalEtablissement").alias("rcp"), F.col("adresseEtablissement.libelleCommuneEtablissement").alias("commune"))
     r = r.withColumn("token", F.explode("t"))
-    fits = F.forall("w", lambda w: F.exists("t", lambda t: F.startswith(t, w)))
+    all_begin = lambda words, of: F.forall(words, lambda w: F.exists(of, lambda t: F.startswith(t, w)))
     dept = lambda c: N.department(F.col(c), "search")
 
-    def tier(left: DataFrame, right: DataFrame, k: int, on: list, limit: int) -> DataFrame:
-        pairs = left.join(right, on).where(F.startswith("token", F.col("first")) & fits).select("id", "siret").distinct()
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("siret"))).where(F.col("rank") <= limit)
+    def pairs(left: DataFrame, right: DataFrame, on: list) -> DataFrame:
+        return left.join(right, on).where(F.startswith("token", F.col("first")) & all_begin("w", "t")).select("id", "siret")
+
+    def tier(found: DataFrame, k: int, limit: int) -> DataFrame:
+        ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("siret"))).where(F.col("rank") <= limit)
         return ranked.withColumn("tier", F.lit(k))
 
-    two = lambda c: F.substring(c, 1, 2)
-    t2 = tier(n.where("cp <> ''"), r, 2, [F.col("cp") == F.col("rcp"), two("first") == two("token")], cap)
+    one, two, six = (lambda c, k=k: F.substring(c, 1, k) for k in (1, 2, 6))
+    labels = registry.select(F.col("adresseEtablissement.libelleCommuneEtablissement").alias("label")).distinct().withColumn("ct", split(F.col("label"))).withColumn("ctoken", F.explode("ct"))
+    cities = n.where(F.size("c") > 0).select("c").distinct().withColumn("cfirst", F.element_at("c", 1))
+    cities = cities.join(labels, one("cfirst") == one("ctoken")).where(F.startswith("ctoken", F.col("cfirst")) & all_begin("c", "ct")).select("c", "label").distinct()
+    by_code = pairs(n.where("cp <> ''"), r, [F.col("cp") == F.col("rcp"), two("first") == two("token")])
+    by_city = pairs(n.join(cities, "c"), r, [F.col("label") == F.col("commune"), two("first") == two("token")])
+    t2 = tier(by_code.unionByName(by_city), 2, near_cap)
     rest = n.join(t2.select("id").distinct(), "id", "left_anti")
-    t3 = tier(rest.where("cp <> ''"), r, 3, [dept("cp") == dept("rcp"), two("first") == two("token")], cap)
+    t3 = tier(pairs(rest.where("cp <> ''"), r, [dept("cp") == dept("rcp"), two("first") == two("token")]), 3, cap)
     rest = rest.join(t3.select("id").distinct(), "id", "left_anti")
-    six = lambda c: F.substring(c, 1, 6)
     long, short = rest.where(F.length("first") >= 6), rest.where(F.length("first") < 6)
-    t5 = tier(long, r.where("head"), 5, [six("first") == six("token")], broad_cap)
-    t5s = tier(short, r.where("head").withColumn("size", F.explode(F.sequence(F.lit(2), F.lit(5)))), 5, [F.length("first") == F.col("size"), F.col("first") == F.expr("substring(token, 1, size)")], broad_cap)
+    t5 = tier(pairs(long, r.where("head"), [six("first") == six("token")]), 5, broad_cap)
+    t5s = tier(pairs(short, r.where("head").withColumn("size", F.explode(F.sequence(F.lit(2), F.lit(5)))), [F.length("first") == F.col("size"), F.col("first") == F.expr("substring(token, 1, size)")]), 5, broad_cap)
     return t2.unionByName(t3).unionByName(t5).unionByName(t5s)

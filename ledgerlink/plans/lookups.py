@@ -133,7 +133,7 @@ query("strict_name_match", f"with {LATEST}, t as (select siret, {T} as t from l)
 @query("tiered_search")
 def tiered_search(spark, sf_dir):
     f = lambda k: C("fields").getItem(k)["value"]
-    asked = table(spark, sf_dir, "extraction").groupBy(C("row_id").alias("id")).agg(F.min(f("company_name_raw")).alias("name"), F.min(f("postal_code")).alias("postal"))
+    asked = table(spark, sf_dir, "extraction").groupBy(C("row_id").alias("id")).agg(F.min(f("company_name_raw")).alias("name"), F.min(f("postal_code")).alias("postal"), F.min(f("city")).alias("city"))
     return R.tiers(asked, latest(spark, sf_dir))
 
 
