@@ -21,8 +21,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record with its state, typed values and reason of fault."""
-    return split_uploads(table(spark, sf_dir, "upload_raw"), with_fields=False).select("line_id", "file_id", "line_no", "state", "reason", "siret", "day", "amount")
+    """Every record as it came, with its state, reason of fault, typed values and all its columns by name."""
+    return split_uploads(table(spark, sf_dir, "upload_raw")).select("line_id", "file_id", "line_no", "raw", "state", "reason", "siret", "day", "amount", "fields")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,10 @@ import itertools
 import random
 import re
 
+import __spark_entry__
 from ledgerlink.operators import registry as R
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "siret string, etablissementSiege boolean, uniteLegale struct<denominationUniteLegale:string>, adresseEtablissement struct<codePostalEtablissement:string,libelleCommuneEtablissement:string>, periodesEtablissement array<struct<enseigne1Etablissement:string,denominationUsuelleEtablissement:string>>"
 
 
@@ -35,3 +37,10 @@ def test_tiers_equal_brute_force(spark):
     want = brute_tiers(asked, registry)
     assert {x[3] for x in want} == {2, 3, 5}
     assert sorted((r.id, r.siret, r["rank"], r.tier) for r in got.collect()) == want
+
+
+def test_upload_rows_have_their_record_and_all_columns(spark):
+    rows = __spark_entry__.queries()["p2_rows"](spark, SF).collect()
+    loaded = [r for r in rows if r.state == "loaded"]
+    assert loaded and all({"FR_SIRET", "Transaction_Date", "Amount", "Supplier"} <= set(r.fields) for r in loaded)
+    assert all(r.raw and r.fields is None for r in rows if r.state == "rejected")
