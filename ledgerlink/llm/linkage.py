@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.names import folded, parsed
-from ledgerlink.session import cut, piece_rows
+from ledgerlink.llm.names import Vocabulary, folded, learned, name_words, with_words
+from ledgerlink.session import cut
 
 # Words of French addresses.
 STREET_TYPES = "ALL ALLEE AV AVE AVENUE BD BLD BLVD BOULEVARD BVD CH CHEM CHEMIN CHE COURS CRS IMP IMPASSE PL PLACE Q QU QUAI R ROUTE RTE RUE SQ SQUARE".split()
@@ -30,7 +30,7 @@ LEVELS = {
 }
 #: Least confidence of a match.
 CONFIDENCE = 0.5
-FIELDS = "kind string, label string, glued string, turned string, postal string, department string, city string, number string, street string, keys array<bigint>"
+FIELDS = "label string, glued string, turned string, postal string, department string, city string, number string, street string, keys array<bigint>"
 
 
 @lru_cache(maxsize=100_000)
@@ -54,85 +54,16 @@ def street_parts(text: str | None, number: str | None = None) -> tuple[str, str]
     return digits.lstrip("0"), street_name(text or "")
 
 
-def edits_allowed(size: int) -> int:
-    """Edits up to which two names are near, by the size of the longer one."""
-    return 1 if size <= 5 else 2 if size <= 8 else 3
+def name_keys(word: str) -> list[str]:
+    """Parts of a word of which two near words share one: both ends, and the middle as others may see it shifted by a letter."""
+    n = len(word)
+    middle = (n - 4) // 2
+    return [f"f{word[:4]}", f"l{word[-4:]}", *(f"m{word[k : k + 4]}" for k in range(max(0, middle - 1), min(n - 4, middle + 1) + 1) if n >= 7)]
 
 
-def segments(size: int, edits: int) -> list[tuple[int, int]]:
-    """Start and end of the edits + 1 parts, of even size, of which one is unchanged by so many edits."""
-    cuts = [size * k // (edits + 1) for k in range(edits + 2)]
-    return list(zip(cuts, cuts[1:]))
-
-
-def held_segments(name: str) -> list[tuple]:
-    """Segments under which a name is found by any other within edits_allowed of the longer one."""
-    n = len(name)
-    return [(n, e, k, name[a:b]) for e in {edits_allowed(n), edits_allowed(n + 3)} for k, (a, b) in enumerate(segments(n, e))]
-
-
-def sought_segments(name: str) -> Iterator[tuple]:
-    """The held_segments that any name within edits_allowed of the longer one may share with this one.
-
-    Of the edits, those before a segment shift it, and those behind it shift what is left, so that it lies
-    no further off than either allows.
-    """
-    n = len(name)
-    for size in range(max(1, n - 3), n + 4):
-        e, more = edits_allowed(max(n, size)), n - size
-        for k, (a, b) in enumerate(segments(size, e)) if abs(more) <= e else []:
-            for i in range(max(0, a - k, a + more - (e - k)), min(n - (b - a), a + k, a + more + (e - k)) + 1):
-                yield size, e, k, name[i : i + b - a]
-
-
-def near_names(sought: Iterable[tuple[str, str, int]], held: Iterable[tuple[str, str, int]]) -> Iterator[tuple[str, str, list[int], list[int]]]:
-    """Of place, name and id: the names of one place that share a segment, with their ids. All that are near are among them."""
-    places: tuple[dict, dict] = {}, {}
-    for side, rows in zip(places, (sought, held)):
-        for at, name, i in rows:
-            side.setdefault(at, {}).setdefault(name, []).append(i)
-    for at in places[0].keys() & places[1].keys():
-        index: dict[tuple, list[str]] = {}
-        for name in places[1][at]:
-            for s in held_segments(name):
-                index.setdefault(s, []).append(name)
-        for name, ids in places[0][at].items():
-            for other in {o for s in sought_segments(name) if s in index for o in index[s]}:
-                yield name, other, ids, places[1][at][other]
-
-
-def near_pairs(left: DataFrame, right: DataFrame, piece: int = 50_000) -> DataFrame:
-    """``l, r``: all pairs whose names, as they stand or turned, are near and in one postal code or commune.
-
-    Tasks hold whole places; of one with more than ``piece`` held names each task holds a share.
-    """
-    at = F.explode(F.filter(F.array(F.when(F.col("postal") != "", F.concat(F.lit("p"), "postal")), F.when(F.col("city") != "", F.concat(F.lit("c"), "city"))), lambda x: x.isNotNull()))
-    name = F.explode(F.array_distinct(F.filter(F.array("glued", "turned"), lambda x: x != "")))
-    left, right = (df.select("id", "glued", "turned", at.alias("at")).select("id", "at", name.alias("name")) for df in (left, right))
-    counts = right.groupBy("at").count()
-    total = right.count()
-    target = piece_rows(total, piece)
-    hot = F.broadcast(counts.where(F.col("count") > target).select("at", F.ceil(F.col("count") / target).cast("int").alias("shares")))  # fewer than HOT_KEYS
-    shares = F.coalesce("shares", F.lit(1))
-    left = left.join(hot, "at", "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
-    right = right.join(hot, "at", "left").withColumn("share", F.pmod(F.hash("name"), shares))
-    bucket = F.pmod(F.hash("at", "share"), F.lit(max(12, total // target + 1))).alias("bucket")
-    left, right = (df.select(bucket, "at", "name", "id") for df in (left, right))
-
-    def work(a: pa.Table, b: pa.Table) -> pa.Table:
-        rows = lambda t: zip(*(t.column(c).to_pylist() for c in ("at", "name", "id")))
-        got = list(zip(*near_names(rows(a), rows(b)))) or [()] * 4
-        return pa.table([pa.array(x, t) for x, t in zip(got, (pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["a", "b", "l", "r"])
-
-    met = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(work, "a string, b string, l array<bigint>, r array<bigint>")
-    size = F.greatest(F.length("a"), F.length("b"))
-    near = met.where(F.levenshtein("a", "b") <= F.when(size <= 5, 1).when(size <= 8, 2).otherwise(3))
-    return near.select(F.explode("l").alias("l"), "r").select("l", F.explode("r").alias("r"))
-
-
-def record(name: str | None, postal: str | None, city: str | None, number: str | None, street: str | None, cedex: dict[str, str]) -> tuple:
+def record(vocabulary: Vocabulary, name: str | None, postal: str | None, city: str | None, number: str | None, street: str | None, cedex: dict[str, str]) -> tuple:
     """FIELDS of one record; its keys are those of all blocking passes."""
-    kind, label, words = parsed(name) or ("", "", [])
+    label, words = vocabulary.parsed(name_words(name)) or ("", [])
     digits = re.sub(r"\D", "", postal or "")
     digits = cedex.get(digits, digits)
     place = city_name(city)
@@ -143,27 +74,36 @@ def record(name: str | None, postal: str | None, city: str | None, number: str |
     keys = []
     for w in dict.fromkeys(words):
         if len(w) >= 3:
-            for end, cut_to in (("f", lambda n: w[:n]), ("l", lambda n: w[-n:])):
-                keys += [f"p{code}{end}{cut_to(4)}"] * bool(code) + [f"c{place}{end}{cut_to(4)}"] * bool(place)
-                if len(w) >= 6:
-                    keys += [f"d{department}{end}{cut_to(6)}"] * bool(department) + [f"t{stem[:4]}{end}{cut_to(5)}"] * (len(stem) >= 4)
+            for k in name_keys(w):
+                keys += [f"p{code}{k}"] * bool(code) + [f"c{place}{k}"] * bool(place)
+            if len(w) >= 6:
+                for k in (f"f{w[:6]}", f"l{w[-6:]}"):
+                    keys += [f"d{department}{k}"] * bool(department) + [f"t{stem[:4]}{k[:6]}"] * (len(stem) >= 4)
     if way:
         keys += [f"a{code}{way}"] * bool(code) + [f"b{place}{way}"] * bool(place)
-    return kind, label, "".join(words), "".join(words[::-1]) if len(words) > 1 else "", code, department, place, no, way, [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys]
+    return label, "".join(words), "".join(words[::-1]) if len(words) > 1 else "", code, department, place, no, way, [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys]
 
 
-def records(df: DataFrame, cedex: dict[str, str]) -> DataFrame:
+def records(df: DataFrame, vocabulary: Vocabulary, cedex: dict[str, str]) -> DataFrame:
     """FIELDS for rows with ``id, name, postal, city, number, street``."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [record(*row, cedex) for row in zip(*(c.to_pylist() for c in batch.columns[1:]))]
-            columns = [pa.array([g[k] for g in got], pa.string() if k < 9 else pa.list_(pa.int64())) for k in range(10)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "kind", "label", "glued", "turned", "postal", "department", "city", "number", "street", "keys"])
+            got = [record(vocabulary, *row, cedex) for row in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+            columns = [pa.array([g[k] for g in got], pa.string() if k < 8 else pa.list_(pa.int64())) for k in range(9)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "label", "glued", "turned", "postal", "department", "city", "number", "street", "keys"])
 
     return df.select("id", "name", "postal", "city", "number", "street").mapInArrow(work, f"id bigint, {FIELDS}")
 
 
+def taught(asked: DataFrame, registered: DataFrame) -> Vocabulary:
+    """The Vocabulary of the names of both sides."""
+    every = asked.select("name").distinct().withColumn("registered", F.lit(False)).unionByName(registered.select("name").distinct().withColumn("registered", F.lit(True)))
+    every = cut(every.where("name is not null").withColumn("id", F.monotonically_increasing_id()))
+    forms = with_words(every, "id", "name").join(every.select("id", "registered"), "id").groupBy("words").agg(F.min("id").alias("id"), F.max("registered").alias("registered"))
+    return learned(forms)
+
+
 def registry_variants(etab: DataFrame) -> DataFrame:
     """All names and addresses that any delivery gives a siret: distinct ``siret, name, postal, city, number, street``."""
     u, a = F.col("uniteLegale"), F.col("adresseEtablissement")
@@ -184,8 +124,8 @@ def levels(x: str, y: str) -> list[Column]:
     turned = lambda p, q: F.when(p("turned") == "", 99).otherwise(F.levenshtein(p("turned"), q("glued")))
     distance = F.least(F.levenshtein(a("glued"), b("glued")), turned(a, b), turned(b, a))
     name = F.when(none("glued"), 3).when(distance == 0, 0).when(distance <= F.when(size <= 5, 1).when(size <= 8, 2).otherwise(3), 1).when(distance <= 0.36 * size, 2).otherwise(4)
-    initial = (a("kind") == "person") & (b("kind") == "person") & (F.startswith(a("label"), b("label")) | F.startswith(b("label"), a("label")))
-    label = F.when(none("label"), 1).when((a("label") == b("label")) | initial, 0).otherwise(2)
+    initial = F.startswith(a("label"), b("label")) | F.startswith(b("label"), a("label"))
+    label = F.when(none("label"), 1).when(initial, 0).otherwise(2)
     postal = F.when((a("department") == "") | (b("department") == ""), 1).when((a("postal") != "") & (a("postal") == b("postal")), 0).when(none("postal") & (a("department") == b("department")), 2).when((a("department") == b("department")) & (F.levenshtein(a("postal"), b("postal")) <= 1), 2).otherwise(3)
     short = F.least(F.length(a("city")), F.length(b("city")))
     near = (F.levenshtein(a("city"), b("city")) <= F.when(short >= 6, 2).otherwise(1)) | ((short >= 6) & (F.startswith(a("city"), b("city")) | F.startswith(b("city"), a("city"))))
@@ -239,8 +179,8 @@ def matched_establishments(extraction: DataFrame, etab: DataFrame, commune: Data
     content are matched once, however many they are; null, empty and repeated values are fine, and extra
     columns are ignored.
 
-    Blocking in several passes: near names within postal code and commune, all of them; name ends within
-    these, department or beginning of the commune's name; and equal streets, with or without a number. Keys
+    Blocking in several passes: ends and middle of a word of the name within postal code and commune; its
+    ends within department or beginning of the commune's name; and equal streets, with or without a number. Keys
     are hashed, and two that fall together only add a pair. All pairs of all passes are compared; their counts by pattern, of
     which there are fewer than 4,000, reach the driver.
     """
@@ -250,12 +190,13 @@ def matched_establishments(extraction: DataFrame, etab: DataFrame, commune: Data
     raw = raw.groupBy("row_id").agg(F.min(F.struct("name", "postal", "city", "number", "street")).alias("x")).select("row_id", "x.*")
     content = ["name", "postal", "city", "number", "street"]
     asked = cut(raw.where("coalesce(name, street) is not null").select(*content).distinct().withColumn("id", F.monotonically_increasing_id()))
-    left = cut(records(asked, cedex))
     variants = cut(registry_variants(etab).withColumn("id", F.monotonically_increasing_id()))
-    right = cut(records(variants, cedex))
+    vocabulary = taught(asked, variants)
+    left = cut(records(asked, vocabulary, cedex))
+    right = cut(records(variants, vocabulary, cedex))
 
     keys = lambda df, name: df.select(F.col("id").alias(name), F.explode("keys").alias("key"))
-    pairs = keys(left, "l").join(keys(right, "r"), "key").select("l", "r").unionByName(near_pairs(left, right)).distinct()
+    pairs = keys(left, "l").join(keys(right, "r"), "key").select("l", "r").distinct()
     compared = pairs.join(left.alias("x"), F.col("l") == F.col("x.id")).join(right.alias("y"), F.col("r") == F.col("y.id")).select("l", "r", *levels("x", "y"), F.levenshtein("x.glued", "y.glued").alias("off"))
     elsewhere = (F.col("postal") == 3) & (F.col("city") == 3)
     compared = cut(compared.where(~elsewhere))

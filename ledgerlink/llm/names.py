@@ -2,40 +2,36 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlink.session import cut
-
-# Words of French firm and person names, as lists in natural order.
-#: Words that say what a firm does or is; a firm bears one of them.
-TRADES = "AGENCE ASSOCIES ATELIERS BLANCHISSERIE BOULANGERIE CABINET CARROSSERIE CHARPENTE CLINIQUE COMPAGNIE CONSEIL CONSTRUCTIONS COUVERTURE DISTRIBUTION DOMAINE ELECTRICITE ENTREPRISE ENVIRONNEMENT EQUIPEMENTS ETABLISSEMENTS FILS FRANCE FRERES FROMAGERIE GARAGE IMMOBILIER IMPRIMERIE INDUSTRIES INFORMATIQUE INTERNATIONAL LABORATOIRE LOGISTIQUE MACONNERIE MAINTENANCE MENUISERIE PEPINIERES PHARMACIE PLOMBERIE SERRURERIE SERVICES SOCIETE TRANSPORTS".split()
-#: Contractions of them that are no beginnings of the word.
-CONTRACTED = {
-    "AG": "AGENCE", "AGCE": "AGENCE", "AT": "ATELIERS", "ATS": "ATELIERS", "BLGE": "BOULANGERIE", "CBT": "CABINET", "CHARPTE": "CHARPENTE", "CIE": "COMPAGNIE", "CNIE": "COMPAGNIE", "COMP": "COMPAGNIE", "CONS": "CONSEIL", "CSL": "CONSEIL", "DNE": "DOMAINE", "DOM": "DOMAINE", "EQPTS": "EQUIPEMENTS", "ETS": "ETABLISSEMENTS", "FCE": "FRANCE", "FR": "FRANCE", "FRES": "FRERES", "FRS": "FRERES", "GGE": "GARAGE", "IMMO": "IMMOBILIER", "IMP": "IMPRIMERIE", "INTL": "INTERNATIONAL", "PHCIE": "PHARMACIE", "PHIE": "PHARMACIE", "PLBIE": "PLOMBERIE", "SCES": "SERVICES", "STE": "SOCIETE", "SVCS": "SERVICES", "TPTS": "TRANSPORTS", "TRSP": "TRANSPORTS",
-}
-LEGAL_FORMS = "EI EURL SA SARL SAS SASU SCI SNC".split()
-TITLES = "M MADAME MLLE MME MONSIEUR MR".split()
-GIVEN_NAMES = "ALEXANDRE ANTOINE BENJAMIN CATHERINE CHRISTOPHE DOMINIQUE ELISABETH EMMANUEL EUGENIE FREDERIC GABRIELLE GUILLAUME JACQUELINE MADELEINE MARGUERITE MARIELAURE MATTHIEU MAXIMILIEN NICOLAS JEANPIERRE PHILIPPE SEBASTIEN STEPHANIE THEODORE VALERIE VERONIQUE".split()
-NICKNAMES = {
-    "ALEX": "ALEXANDRE", "BABETH": "ELISABETH", "BASTIEN": "SEBASTIEN", "BEN": "BENJAMIN", "BENJI": "BENJAMIN", "CATHY": "CATHERINE", "CHRIS": "CHRISTOPHE", "COLAS": "NICOLAS", "DOMI": "DOMINIQUE", "FRED": "FREDERIC", "FREDO": "FREDERIC", "GABY": "GABRIELLE", "GUY": "GUILLAUME", "JACKIE": "JACQUELINE", "KATE": "CATHERINE", "LINE": "JACQUELINE", "LISE": "ELISABETH", "MADO": "MADELEINE", "MAG": "MARGUERITE", "MANU": "EMMANUEL", "MARGOT": "MARGUERITE", "MATHIEU": "MATTHIEU", "MATT": "MATTHIEU", "MAX": "MAXIMILIEN", "NICO": "NICOLAS", "NINIE": "EUGENIE", "PHIL": "PHILIPPE", "SACHA": "ALEXANDRE", "SEB": "SEBASTIEN", "STEPH": "STEPHANIE", "TED": "THEODORE", "TOINE": "ANTOINE", "TONIO": "ANTOINE", "TOPHE": "CHRISTOPHE", "VAL": "VALERIE", "VERO": "VERONIQUE",
-}
-#: What clerks add to a name.
-REMARKS = re.compile(r"\(?NE PAS UTILISER\)?|\(?EX[- ]CLIENT\)?|\(?ANCIEN\)?|- *CPTE CLOS|- *DOUBLON *\??|\s- *AGENCE\s*$|/ *FRS\b|\bSIEGE\s*$|\bCOMPTA\s*$|\bN[°O]\s*\d+|\([A-Z]{2,4}\)(?<!\(SARL\))(?<!\(SAS\))(?<!\(SNC\))|\(?CEDEX\)?")
-#: Names of nobody.
+from ledgerlink.session import cut, piece_rows
+
+# Words that no register of names could teach, as lists in natural order.
+LEGAL_FORMS = "EARL EI EIRL EURL GAEC GIE SA SARL SAS SASU SCA SCEA SCI SCOP SCP SELARL SNC".split()
+TITLES = "M MADAME MADEMOISELLE MLLE MM MME MONSIEUR MR".split()
+FUNCTION_WORDS = "AND AU AUX CHEZ D DE DES DU EN ET L LA LE LES OU PAR POUR SUR".split()
+#: Names of nobody: what is typed where no name is known.
 NOBODY = "A AUTRE AUTRES CLIENT CLIENTS COMPTE DIVERS FOURNISSEUR FOURNISSEURS INCONNU NA NC NEANT SANS NOM TEST X XX XXX".split()
+NO_NAME = frozenset(LEGAL_FORMS + TITLES + FUNCTION_WORDS)
 
-#: Least cosine of two spellings, and least average similarity of two groups that are joined.
-COSINE, LINKAGE = 0.15, 0.3
-GRAM = 3
+#: Least cosine of two spellings of one role, of two where the role of one is unknown, and least average similarity of two groups that are joined.
+COSINE, ALONE, LINKAGE = 0.2, 0.45, 0.15
+#: Lengths of the character n-grams.
+GRAMS = (3, 4)
 #: Similarity of spellings that the registry gives to two different units.
 APART = -5.0
+#: A word is learned only if at least one in LEARNED of all words is it, so that no more than LEARNED are.
+LEARNED = 20_000
+#: Share of a word's companions that must bear one role for the word to be a way to write that role.
+ALIAS = 0.4
 
 
 def folded(text: str) -> str:
@@ -51,6 +47,27 @@ def folded(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c)).upper()
 
 
+WORD = re.compile(r"[A-Z0-9]+")
+LAST = re.compile(r"\s-\s*[A-Z]+\s*$")
+DOTTED = re.compile(r"\b([A-Z])\.(?=[A-Z]\b)")
+#: Digits taken for letters.
+DIGITS = str.maketrans("01258", "OLZSB")
+
+
+def name_words(raw: str | None) -> list[str]:
+    """The words of a name in their order, numbers left out, digits within words read as letters.
+
+    A last word behind a dash that stands alone is given in lower case: it may be a remark.
+    """
+    if not raw:
+        return []
+    text = DOTTED.sub(r"\1", folded(raw).replace("_", " "))  # S.A.R.L.
+    words = [w.translate(DIGITS) for w in WORD.findall(text) if not w.isdigit()]
+    if len(words) > 2 and LAST.search(text):
+        words[-1] = words[-1].lower()
+    return words
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Edit distance where swapping neighbours is one edit; ``most + 1`` if it is greater."""
     if abs(len(a) - len(b)) > most:
@@ -70,147 +87,229 @@ def edits(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
-#: Letters that sound alike or are taken for each other, longest first.
-SOUNDS = [("EAU", "O"), ("AU", "O"), ("AI", "E"), ("EI", "E"), ("PH", "F"), ("CH", "$"), ("QU", "C"), ("Q", "C"), ("K", "C"), ("$", "CH"), ("Y", "I"), ("Z", "S"), ("0", "O"), ("1", "I"), ("5", "S"), ("8", "B")]
+#: Letters that sound alike, longest first.
+SOUNDS = [("EAU", "O"), ("AU", "O"), ("AI", "E"), ("EI", "E"), ("PH", "F"), ("CH", "$"), ("QU", "C"), ("Q", "C"), ("K", "C"), ("$", "CH"), ("Y", "I"), ("Z", "S")]
+DOUBLED = re.compile(r"(.)\1+")
 
 
 def sound(word: str) -> str:
     """The word as it sounds: one letter for each sound, no letter doubled."""
     for a, b in SOUNDS:
-        word = word.replace(a, b)
-    return re.sub(r"(.)\1+", r"\1", word)
-
-
-@lru_cache(maxsize=200_000)
-def word_role(word: str) -> tuple[str, str] | None:
-    """What a word plainly says beside the name proper: (trade, TRADE), (given, NAME), (form, FORM) or (title, TITLE)."""
-    if word in LEGAL_FORMS:
-        return "form", word
-    if word in TITLES:
-        return "title", word
-    if word in CONTRACTED:
-        return "trade", CONTRACTED[word]
-    if word in NICKNAMES:
-        return "given", NICKNAMES[word]
-    for kind, known in (("trade", TRADES), ("given", GIVEN_NAMES)):
-        if word in known:
-            return kind, word
-    if len(word) >= 3:
-        for kind, known in (("trade", TRADES), ("given", GIVEN_NAMES)):
-            if len(begin := [k for k in known if k.startswith(word)]) == 1:
-                return kind, begin[0]
-    return None
-
-
-@lru_cache(maxsize=200_000)
-def misspelt_role(word: str) -> tuple[str, str] | None:
-    """The trade or given name that the word seems to be, with an edit or two."""
-    if len(word) >= 5:
-        near = [(edits(word, k, 2 if len(word) >= 7 else 1), kind, k) for kind, known in (("trade", TRADES), ("given", GIVEN_NAMES)) for k in known]
-        d, kind, k = min(near)
-        if d <= (2 if len(word) >= 7 else 1):
-            return kind, k
-    return None
-
-
-@lru_cache(maxsize=200_000)
-def parsed(raw: str | None) -> tuple[str, str, list[str]] | None:
-    """Kind (firm, person or blank), label and the words of the name proper as they sound; None for blank and catch-all names.
-
-    The label is what must not differ: the trade of a firm, the given name of a person or its initial.
+        if a in word:
+            word = word.replace(a, b)
+    return DOUBLED.sub(r"\1", word)
+
+
+def shortens(short: str, word: str) -> bool:
+    """Whether ``short`` begins as ``word`` does and has its letters in their order."""
+    letters = iter(word)
+    return len(short) < len(word) and short[:1] == word[:1] and all(c in letters for c in short)
+
+
+def letters(word: str) -> int:
+    """The letters that a word has, as bits."""
+    mask = 0
+    for c in word:
+        mask |= 1 << (ord(c) - 48)
+    return mask
+
+
+@dataclass
+class Vocabulary:
+    """What a corpus of names taught about its words: roles (trades, given names) with other ways to write them, and remarks."""
+
+    roles: dict[str, str] = field(default_factory=dict)  # a word and the role it stands for
+    remarks: frozenset[str] = frozenset()
+    _near: dict = field(default_factory=dict, repr=False)
+    _letters: dict = field(default_factory=dict, repr=False)
+    _known: dict = field(default_factory=dict, repr=False)
+
+    def short_role(self, word: str) -> str | None:
+        """The only role that the word, unknown itself, is the beginning of."""
+        if len(word) < 3:
+            return None
+        begin = {r for w, r in self.roles.items() if w.startswith(word)}
+        return begin.pop() if len(begin) == 1 else None
+
+    def near_role(self, word: str) -> str | None:
+        """The role that the word seems to be a misspelling of."""
+        if word not in self._near:
+            if len(self._near) > 200_000:
+                self._near.clear()
+            if not self._letters:
+                self._letters.update((w, letters(w)) for w in self.roles)
+            most = 2 if len(word) >= 7 else 1 if len(word) >= 5 else 0
+            mine = letters(word)
+            hopeful = [w for w, m in self._letters.items() if (mine ^ m).bit_count() <= 2 * most] if most else []  # an edit changes two letters at most
+            best = min(((d, w) for w in hopeful if (d := edits(word, w, most)) <= most), default=None)
+            self._near[word] = self.roles[best[1]] if best else None
+        return self._near[word]
+
+    def parsed(self, words: list[str]) -> tuple[str, list[str]] | None:
+        """Label and the words of the name proper as they sound; None for blank and catch-all names.
+
+        The label is the role, or its first letter, which must not differ; '' if the name bears none.
+        """
+        key = " ".join(words)
+        if key not in self._known:
+            if len(self._known) > 100_000:
+                self._known.clear()
+            self._known[key] = self._parse(words)
+        return self._known[key]
+
+    def _parse(self, words: list[str]) -> tuple[str, list[str]] | None:
+        if words and words[-1].islower():
+            last = words[-1].upper()
+            words = words[:-1] if last in self.roles or last in self.remarks else [*words[:-1], last]
+        words = [w for w in words if w not in self.remarks or w in self.roles]
+        if not [w for w in words if w not in NOBODY and w not in NO_NAME]:
+            return None
+        role = [None if w in NO_NAME else self.roles.get(w) or self.short_role(w) for w in words]
+        if not any(role):
+            role = [None if w in NO_NAME else self.near_role(w) for w in words]
+            if all(r or w in NO_NAME or len(w) == 1 for r, w in zip(role, words)):
+                role = [None] * len(words)
+        label = next((r for r in role if r), "")
+        rest = [w for w, r in zip(words, role) if not r and len(w) > 1 and w not in NO_NAME and (w not in NOBODY or len(w) < 3)]
+        initial = next((w for k, (w, r) in enumerate(zip(words, role)) if not r and len(w) == 1 and (w not in NO_NAME or w in TITLES and k)), "")
+        for w in [w for w in rest if 2 <= len(w) <= 4]:  # initials of the whole name
+            others = [x for x in rest if x is not w]
+            if others and w[-len(others) :] in ("".join(x[0] for x in others), "".join(x[0] for x in others[::-1])) and len(w) - len(others) in (0, 1):
+                rest, initial = others, initial or (w[0] if len(w) > len(others) else "")
+        if not rest:
+            rest = [w for w, r in zip(words, role) if r][1:]
+            if not rest:
+                return None
+        return label or initial, [sound(w) for w in rest]
+
+
+def with_words(names: DataFrame, key: str, name: str) -> DataFrame:
+    """``key, words``: the name_words of each name, joined by blanks; names without a word are left out."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(i, " ".join(w)) for i, n in zip(*(c.to_pylist() for c in batch.columns)) if (w := name_words(n))]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], batch.schema.field(0).type), pa.array([w for _, w in got], pa.string())], names=[key, "words"])
+
+    return names.select(key, name).mapInArrow(work, f"{key} {dict(names.dtypes)[key]}, words string")
+
+
+def learned(forms: DataFrame) -> Vocabulary:
+    """The Vocabulary of names ``id, words, registered``.
+
+    A role is a word that most registered names which bear it know no commoner word than. Every other word
+    of a typed name that stands beside names proper of the registry, and mostly beside such as bear one
+    role there, is a way to write that role (abbreviation, nickname); if they bear many roles, it is a
+    remark. Words always registered together are one role. All names count; no more than LEARNED words of each kind
+    reach the driver, as each makes up that share of all words.
     """
-    if not raw:
-        return None
-    text = REMARKS.sub(" ", folded(raw).replace("_", " "))
-    text = re.sub(r"\b([A-Z])\.(?=[A-Z]\b)", r"\1", text)  # S.A.R.L.
-    text = re.sub(r"\bJ(EAN)?[\s.-]*P(IERRE)?\b\.?", "JEANPIERRE", text)
-    text = re.sub(r"\bM(ARIE)?[\s.-]*L(AURE)?\b\.?", "MARIELAURE", text)
-    text = re.sub(r"\bET F(IL)?\b", "FILS", text)
-    words = re.findall(r"[A-Z0-9]+", text)
-    if not [w for w in words if w not in NOBODY]:
-        return None
-    trade = given = initial = ""
-    rest = []
-    roles = [word_role(w) for w in words]
-    if not any(r and r[0] in ("trade", "given") for r in roles):
-        roles = [r or misspelt_role(w) for r, w in zip(roles, words)]
-    for k, (w, role) in enumerate(zip(words, roles)):
-        if role and role[0] == "title" and len(w) == 1 and k and not re.search(rf"\b{w}\.", text):
-            initial = initial or w  # a lone letter behind the name
-        elif role and role[0] in ("form", "title"):
-            pass
-        elif role and role[0] == "trade":
-            trade = trade or role[1]
-        elif role and role[0] == "given":
-            given = given or role[1]
-        elif w == "ET" or w in NOBODY and len(w) > 2:
-            pass
-        elif len(w) == 1:
-            initial = initial or w
-        else:
-            rest.append(w)
-    if not rest:
-        return None
-    rest = [sound(w) for w in rest]
-    if trade:
-        return "firm", trade, rest
-    if given or initial:
-        return "person", given or initial, rest
-    return "", "", rest
-
-
-def spellings(names: DataFrame) -> DataFrame:
-    """``entry_id, siren, spelling, kind, label, words``: entries that name somebody, ``spelling`` being equal for equal names."""
+    each = forms.select("id", "registered", F.explode(F.array_distinct(F.split("words", " "))).alias("word")).where((F.length("word") > 1) & (F.col("word") == F.upper("word")) & ~F.col("word").isin(*NO_NAME, *NOBODY))
+    each = cut(each)
+    registered, typed = each.where("registered").drop("registered"), each.where("not registered").drop("registered")
+    n_registered, n_typed = registered.count(), typed.count()
+    least = max(2, math.ceil(n_registered / LEARNED))
+    common = registered.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    # fewer than LEARNED words, see least
+    ranked = cut(registered.join(F.broadcast(common), "word"))
+    first = ranked.groupBy("id").agg(F.max("df").alias("df"), F.max_by("word", "df").alias("word"), F.count("*").alias("n"))
+    second = ranked.join(first.select("id", F.col("word").alias("top")), "id").where("word <> top").groupBy("id").agg(F.max("df").alias("df2"))
+    votes = first.join(second, "id", "left").where("df2 is null or df > df2 or df >= 3").groupBy("word").count()
+    roles = {r.word: r.word for r in votes.join(F.broadcast(common), "word").where("2 * count >= df").collect()}
+    both = ranked.alias("x").join(ranked.alias("y"), "id").where("x.word < y.word").groupBy(F.col("x.word").alias("a"), F.col("y.word").alias("b"), F.col("x.df").alias("da"), F.col("y.df").alias("db")).count()
+    for r in both.where("count >= 3 and count >= 0.8 * greatest(da, db)").collect():  # compound given names
+        if r.a in roles or r.b in roles:
+            roles[r.b] = roles[r.a] = r.a
+    spark = forms.sparkSession
+    known = F.broadcast(spark.createDataFrame([(w, r) for w, r in roles.items()], "word string, role string"))
+    proper = registered.join(known, "word", "left_anti")
+    bears = proper.withColumnRenamed("word", "p").join(registered.join(known, "word").select("id", "role"), "id").select("p", "role").distinct()
+    marked = typed.join(known, "word", "left_anti").join(proper.select("word").distinct().withColumn("proper", F.lit(True)), "word", "left")
+    marked = cut(marked)
+    beside = marked.select("id", F.col("word").alias("v"), F.col("proper").alias("known")).join(marked.where("proper").select("id", F.col("word").alias("p")), "id").where("v <> p")
+    beside = cut(beside.groupBy("v", "p").agg(F.max("known").alias("known")))
+    least = max(2, math.ceil(n_typed / LEARNED))
+    seen = beside.groupBy("v").agg(F.count("*").alias("c"), F.max("known").alias("known")).where(F.col("c") >= least)  # fewer than LEARNED
+    shared = beside.select("v", "p").join(F.broadcast(seen), "v").join(bears, "p").groupBy("v", "c", "known", "role").count()
+    best = shared.groupBy("v", "c", "known").agg(F.max(F.struct("count", "role")).alias("b")).collect()
+    remarks = []
+    for r in best:
+        if r.b["count"] >= max(2 if shortens(r.v, r.b.role) else 3, ALIAS * r.c):
+            roles[r.v] = r.b.role
+        elif r.c >= 3 and not r.known:
+            remarks.append(r.v)
+    return Vocabulary(roles, frozenset(remarks))
+
+
+def parse(forms: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``id, label, proper``: those of ``id, words`` that name somebody, parsed."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(i, p, x) for i, n, x in zip(*(c.to_pylist() for c in batch.columns)) if (p := parsed(n))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _, _ in got], pa.int64()), pa.array([x for _, _, x in got], pa.string()), *(pa.array([f(p) for _, p, _ in got], pa.string()) for f in (lambda p: f"{p[0]}|{p[1]}|{' '.join(p[2])}", lambda p: p[0], lambda p: p[1])), pa.array([p[2] for _, p, _ in got], pa.list_(pa.string()))],
-                names=["entry_id", "siren", "spelling", "kind", "label", "words"],
-            )
+            got = [(i, p) for i, w in zip(*(c.to_pylist() for c in batch.columns)) if (p := vocabulary.parsed(w.split(" ")))]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([p[0] for _, p in got], pa.string()), pa.array([p[1] for _, p in got], pa.list_(pa.string()))], names=["id", "label", "proper"])
 
-    return names.select("entry_id", "company_name_raw", "siren").mapInArrow(work, "entry_id bigint, siren string, spelling string, kind string, label string, words array<string>")
+    return forms.select("id", "words").mapInArrow(work, "id bigint, label string, proper array<string>")
 
 
 def gram_vectors(classes: DataFrame) -> DataFrame:
-    """``id, gram, weight``: character n-grams of the words, weighted by rarity, of unit length for each id."""
-    padded = F.transform("words", lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    grams = F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (GRAM - 1), F.lit(1))), lambda i: F.substring(w, i, GRAM))))
-    each = classes.select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
+    """``id, gram, weight, rank``: character n-grams of the words, weighted by rarity, of unit length for each id, rarest first."""
+    padded = F.transform("proper", lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    of = lambda n: F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), lambda i: F.substring(w, i, n))))
+    each = classes.select("id", F.explode(F.concat(*[of(n) for n in GRAMS])).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
     total = classes.count()
-    # letters, digits and the blank give fewer than 38**3 grams: the bound of this broadcast
     rarity = each.groupBy("gram").agg(F.log(F.lit(1.0) + F.lit(float(total)) / F.count("*")).alias("idf"))
-    raw = each.join(F.broadcast(rarity), "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).select("id", "gram", "weight")
+    w = each.join(rarity, "gram").withColumn("w", F.col("tf") * F.col("idf"))
+    mine = Window.partitionBy("id")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(mine))
+    left = mine.orderBy(F.col("idf"), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = w.withColumn("tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(left)) / norm)
+    return w.select("id", F.xxhash64("gram").alias("gram"), (F.col("w") / norm).alias("weight"), "tail")
+
+
+def edits_allowed(size: Column) -> Column:
+    """Edits that two names of one entity may differ by, by the size of the longer one."""
+    return F.greatest(F.lit(1), F.floor((size + 1) / 3)).cast("int")
 
 
-def similar_spellings(classes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of ids whose names are near enough, with their similarity: the cosine, or what the edits leave if that is more.
+def similar_spellings(classes: DataFrame, cosine: float = COSINE, alone: float = ALONE, piece: int = 20_000) -> DataFrame:
+    """Pairs ``a < b`` of ids whose names reach the cosine, with it as their similarity.
 
-    A sparse product over shared grams within one label; those without a label, or with an initial only,
-    meet all. No partner is dropped. Then an exact check: the glued names, in either order of their words,
-    differ by few edits for their length.
+    Names of one label must reach ``cosine``; those of which one has no label, or an initial, must reach
+    ``alone``, as only the name proper speaks for them, and meet all labels. The join is exact: vectors of
+    some cosine share a gram among the rarest of both, namely those without which less than that cosine of
+    the vector's length is left; so only these grams meet. A gram with more than ``piece`` of all such rows
+    is split, and each part of it meets the whole in another task. A further condition is tested as soon
+    as two names meet, before their cosine is summed up: the glued names, in either order of their words or
+    with the words sorted, differ by few edits for their length. No partner is dropped.
     """
-    c = classes.withColumn("glued", F.concat_ws("", "words")).withColumn("turned", F.concat_ws("", F.reverse("words")))
-    c = c.withColumn("open", (F.length("label") <= 1))
-    v = cut(gram_vectors(c).join(c.select("id", "label", "open", F.length("glued").alias("size")), "id"))
-    near = F.abs(F.col("x.size") - F.col("y.size")) <= 4
-    x, y = v.alias("x"), v.alias("y")
-    dot = F.col("x.weight") * F.col("y.weight")
-    same = x.where("not open").join(y.where("not open"), (F.col("x.label") == F.col("y.label")) & (F.col("x.gram") == F.col("y.gram")) & near & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), dot.alias("d"))
-    lone = x.where("open").join(y, (F.col("x.gram") == F.col("y.gram")) & near & ((F.col("x.id") < F.col("y.id")) | ~F.col("y.open"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), dot.alias("d"))
-    pairs = same.unionByName(lone).groupBy("a", "b").agg(F.sum("d").alias("cosine")).where(F.col("cosine") >= COSINE)
-    side = c.select("id", "kind", "label", "glued", "turned", "siren")
-    both = pairs.join(side.select([F.col(n).alias(f"a_{n}") for n in side.columns]), F.col("a") == F.col("a_id")).join(side.select([F.col(n).alias(f"b_{n}") for n in side.columns]), F.col("b") == F.col("b_id"))
-    size = F.greatest(F.length("a_glued"), F.length("b_glued"))
-    most = F.when(size <= 4, 1).when(size <= 6, 2).when(size <= 9, 3).otherwise(4)
-    distance = F.least(F.levenshtein("a_glued", "b_glued"), F.levenshtein("a_glued", "b_turned"), F.levenshtein("a_turned", "b_glued"))
-    fits = (F.col("a_label") == F.col("b_label")) | (F.col("a_label") == "") | (F.col("b_label") == "")
-    fits = fits | (F.col("a_kind") == "person") & (F.col("b_kind") == "person") & (F.startswith("a_label", "b_label") | F.startswith("b_label", "a_label"))
-    near = both.where(fits).withColumn("distance", distance).where(F.col("distance") <= most)
-    apart = F.col("a_siren") != F.col("b_siren")  # two units of the registry
-    return near.select("a", "b", F.when(apart, APART).otherwise(F.greatest("cosine", 1 - 2 * F.col("distance") / size)).alias("similarity"))
+    glue = lambda w: F.concat_ws("", w)
+    names = cut(classes.select("id", "label", "siren", (F.length("label") <= 1).alias("open"), glue("proper").alias("glued"), glue(F.reverse("proper")).alias("turned"), glue(F.array_sort("proper")).alias("sorted")).withColumn("size", F.length("glued")))
+    vectors = cut(gram_vectors(classes))
+
+    def met(left: DataFrame, right: DataFrame, least: float, keys: list[str], more: Column) -> DataFrame:
+        leading = vectors.where(F.col("tail") >= least).select("id", "gram")
+        x, y = leading.join(left, "id"), leading.join(right, "id")
+        total = y.count()
+        target = piece_rows(total, piece)
+        hot = F.broadcast(y.groupBy(*keys).count().where(F.col("count") > target).select(*keys, F.ceil(F.col("count") / target).cast("int").alias("shares")))  # fewer than HOT_KEYS
+        shares = F.coalesce("shares", F.lit(1))
+        x = x.join(hot, keys, "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).alias("x")
+        y = y.join(hot, keys, "left").withColumn("share", F.pmod(F.xxhash64("id"), shares).cast("int")).alias("y")
+        most = edits_allowed(F.greatest("x.size", "y.size"))
+        near = lambda a, b: (F.expr(f"levenshtein(x.{a}, y.{b}, 1 + int(greatest(x.size, y.size) / 3))").between(F.lit(0), most))
+        same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in (*keys, "share")]
+        pairs = x.join(y, [*same, more & (F.abs(F.col("x.size") - F.col("y.size")) <= most) & (near("glued", "glued") | near("glued", "turned") | near("sorted", "sorted"))])
+        apart = F.coalesce(F.col("x.siren") != F.col("y.siren"), F.lit(False))  # two units of the registry
+        return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), apart.alias("apart"), F.lit(least).alias("least"))
+
+    closed, lone = names.where("not open"), names.where("open")
+    fits = F.startswith("x.label", "y.label") | F.startswith("y.label", "x.label")
+    once = F.col("x.id") < F.col("y.id")
+    pairs = met(closed, closed, cosine, ["gram", "label"], once).unionByName(met(lone, names, alone, ["gram"], fits & (once | ~F.col("y.open"))))
+    pairs = cut(pairs.distinct())
+    v = lambda n: vectors.select(F.col("id").alias(n), "gram", F.col("weight").alias(f"w{n}"))
+    summed = pairs.join(v("a"), "a").join(v("b"), ["b", "gram"]).groupBy("a", "b", "apart", "least").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    return summed.where(F.col("cosine") >= F.col("least")).select("a", "b", F.when(F.col("apart"), APART).otherwise(F.col("cosine")).alias("similarity"))
 
 
 def average_linkage(weights: DataFrame, edges: DataFrame, least: float = LINKAGE) -> DataFrame:
@@ -243,15 +342,19 @@ def average_linkage(weights: DataFrame, edges: DataFrame, least: float = LINKAGE
 def named_entities(names: DataFrame) -> DataFrame:
     """``entry_id, spelling, cluster``: the entity that each entry names, as the least entry_id of its group.
 
-    Null, blank and catch-all names name nobody and are left out. Equal spellings are one class however
+    Null, blank and catch-all names name nobody and are left out. Names that parse alike are one class however
     many entries bear them, so that a name of a third of all rows costs as much as any other. Extra columns
     are ignored; a repeated entry_id is one entry.
     """
-    entries = cut(spellings(names).dropDuplicates(["entry_id"]))
-    classes = cut(entries.groupBy("spelling").agg(F.min("entry_id").alias("id"), F.count("*").alias("weight"), F.first("kind").alias("kind"), F.first("label").alias("label"), F.first("words").alias("words"), F.when(F.min("siren") == F.max("siren"), F.min("siren")).alias("siren")))
+    entries = names.where("entry_id is not null").groupBy("entry_id").agg(F.min(F.struct("company_name_raw", "siren")).alias("x")).select("entry_id", "x.*")
+    entries = cut(with_words(entries, "entry_id", "company_name_raw").join(entries.select("entry_id", "siren"), "entry_id"))
+    forms = cut(entries.groupBy("words").agg(F.min("entry_id").alias("id"), F.max(F.col("siren").isNotNull()).alias("registered"), F.min("siren").alias("siren"), F.max("siren").alias("siren2"), F.count("*").alias("weight")))
+    spelt = cut(parse(forms, learned(forms)).withColumn("spelling", F.concat_ws("|", "label", F.concat_ws(" ", "proper"))))
+    classes = cut(forms.join(spelt, "id").groupBy("spelling").agg(F.min("id").alias("id"), F.sum("weight").alias("weight"), F.first("label").alias("label"), F.first("proper").alias("proper"), F.when(F.min("siren") == F.max("siren2"), F.min("siren")).alias("siren")))
     edges = similar_spellings(classes).withColumnRenamed("similarity", "s")
     groups = average_linkage(classes.select("id", "weight"), edges)
-    return entries.select("entry_id", "spelling").join(classes.select("spelling", "id").join(groups, "id"), "spelling").select("entry_id", "spelling", "cluster")
+    of = forms.join(spelt.select("id", "spelling"), "id").select("words", "spelling").join(classes.select("spelling", "id"), "spelling").join(groups, "id").select("words", "spelling", "cluster")
+    return entries.select("entry_id", "words").join(of, "words").select("entry_id", "spelling", "cluster")
 
 
 def entity_pairs(names: DataFrame) -> DataFrame:

@@ -76,14 +76,56 @@ def test_packed_documents(spark):
 
 
 def test_names():
-    same = [("BOULANGERIE ZEBRAR-GUCLEX", "boulangerie zebrar et guclx sas"), ("ALEXANDRE VECHORFLETRARS", "alex vechorfletrars"), ("CABINET VUSAIBEGRART", "Cbt Vusaibegrart (Sasu)"), ("AGENCE DREZUDECAN", "Ag.\xa0Drezu Decan")]
+    roles = {w: r for r, all_ in {"BOULANGERIE": "BOULANGERIE BLGE", "CABINET": "CABINET CBT", "AGENCE": "AGENCE AG", "ALEXANDRE": "ALEXANDRE SACHA", "JEAN": "JEAN PIERRE JP"}.items() for w in all_.split()}
+    vocabulary = names.Vocabulary(roles, frozenset(["COMPTA"]))
+    parsed = lambda x: vocabulary.parsed(names.name_words(x))
+    same = [("BOULANGERIE ZEBRAR-GUCLEX", "boulangerie zebrar et guclx sas"), ("ALEXANDRE VECHORFLETRARS", "alex vechorfletrars COMPTA"), ("ALEXANDRE VECHORFLETRARS", "Sacha Vechorfletrars - AGENCE"), ("CABINET VUSAIBEGRART", "Cbt Vusaibegrart (Sasu)"), ("AGENCE DREZUDECAN", "Ag.\xa0Drezu Decan"), ("BOULANGERIE TROFANCEL", "boulangreie trofancel"), ("JEAN-PIERRE ROCHOR", "J.P. Rochor")]
     for a, b in same:
-        x, y = names.parsed(a), names.parsed(b)
-        assert x[1] == y[1] and names.edits("".join(x[2]), "".join(y[2]), 4) <= 2
-    assert [names.parsed(x) for x in (None, "", "-", "divers fournisseurs", "N/A")] == [None] * 5
+        x, y = parsed(a), parsed(b)
+        assert x[0].startswith(y[0]) and names.edits("".join(x[1]), "".join(y[1]), 4) <= 2, (a, b)
+    assert parsed("BCZ - Cavrin Zelart")[1] == parsed("BOULANGERIE CAVRIN ZELART (BCZ)")[1]
+    assert [parsed(x) for x in (None, "", "-", "divers fournisseurs", "N/A", "Monsieur")] == [None] * 6
     assert names.edits("abcd", "abdc", 3) == 1 and names.edits("abc", "xyz", 2) == 3
 
 
+def proper(k: int) -> str:
+    """A name of its own for each number."""
+    return "".join("BA CE DI FO GU LA ME NI RO TU".split()[int(d)] for d in f"{k * 7919 % 100_000:05}")
+
+
+def test_roles_and_their_spellings_are_learned(spark):
+    roles = "GARAGE MENUISERIE ZOLTANE PEPINIERES".split()  # one of them no known word: nothing but the names teaches it
+    rows = [(f"{roles[k % 4]} {proper(k)}", True) for k in range(40)]
+    rows += [(f"{'GGE MEN ZTN PEP'.split()[k % 4]} {proper(k)}", False) for k in range(40)] + [(f"{roles[k % 4]} {proper(k)} COMPTA", False) for k in range(20)]
+    forms = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id bigint, words string, registered boolean")
+    got = names.learned(forms)
+    assert got.roles == dict(zip(roles, roles)) | dict(zip("GGE MEN ZTN PEP".split(), roles)) and got.remarks == {"COMPTA"}
+    assert names.learned(forms.limit(0)) == names.Vocabulary()
+
+
+def test_similarity_join_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice("BA CE DI FO GU".split(), 4)) for _ in range(12)]
+    words += [w[:i] + "X" + w[i + 1 :] for w in words for i in (2, 5)]
+    rows = [(i, ["GARAGE", "CABINET", "G", ""][i % 4], [w] if i % 3 else [w[:4], w[4:]], None) for i, w in enumerate(words)]
+    classes = spark.createDataFrame(rows, "id bigint, label string, proper array<string>, siren string")
+    vectors = {}
+    for r in names.gram_vectors(classes).collect():
+        vectors.setdefault(r.id, {})[r.gram] = r.weight
+    want = set()
+    for (a, la, pa_, _), (b, lb, pb, _) in itertools.combinations(rows, 2):
+        open_ = len(la) <= 1 or len(lb) <= 1
+        cosine = sum(w * vectors[b].get(g, 0) for g, w in vectors[a].items())
+        x, y = "".join(pa_), "".join(pb)
+        most = max(1, (max(len(x), len(y)) + 1) // 3)
+        plain = lambda s, t: names.edits(s, t, most) <= most
+        near = plain(x, y) or plain(x, "".join(pb[::-1])) or plain("".join(sorted(pa_)), "".join(sorted(pb)))
+        if (la.startswith(lb) or lb.startswith(la)) and near and cosine >= (0.45 if open_ else 0.2):
+            want.add((a, b))
+    for piece in (3, 10**6):
+        assert {(r.a, r.b) for r in names.similar_spellings(classes, 0.2, 0.45, piece).collect()} == want
+
+
 def brute_linkage(weights, edges, least):
     groups = {i: [i] for i in weights}
     sim = {frozenset(e[:2]): e[2] for e in edges}
@@ -103,32 +145,22 @@ def test_average_linkage_equals_one_merge_at_a_time(spark):
 
 
 def test_entity_pairs(spark):
-    typed = [(1, "AGENCE CIFLOU JUBARD"), (2, "ag. ciflou & jubad"), (3, "AGENCE CIFLOU SORTRANT"), (4, "CLINIQUE CIFLOU JUBARD"), (5, "-"), (6, None), (7, "AGENCE CIFLOU JUBARD"), (8, "BENJAMIN PASARCOFLET"), (9, "Benji Pasarcoflet"), (9, "Benji Pasarcoflet"), (10, "ANTOINE PASARCOFLET")]
-    df = spark.createDataFrame(typed, "entry_id bigint, company_name_raw string").withColumns({"siren": F.lit(None).cast("string"), "label": F.lit("clash")})
-    assert sorted(tuple(r) for r in names.entity_pairs(df).collect()) == [(1, 2), (1, 7), (2, 7), (8, 9)]
+    known = [(100 + k, f"{'AGENCE CLINIQUE BENJAMIN ANTOINE'.split()[k % 4]} {proper(k)}", f"{k:09}") for k in range(24)] + [(200 + k, f"{'AG CLIN BENJI TONIO'.split()[k % 4]} {proper(k)}", None) for k in range(24)]
+    typed = [(1, "AGENCE CIFLOU JUBARD"), (2, "ag. ciflou & jubad"), (3, "AGENCE CIFLOU SORTRANT"), (4, "CLINIQUE CIFLOU JUBARD"), (5, "-"), (6, None), (7, "AGENCE CIFLOU JUBARD"), (8, "BENJAMIN PASARCOFLET"), (9, "Benji Pasarcoflet"), (9, "Benji Pasarcoflet"), (10, "ANTOINE PASARCOFLET"), (11, "JUBARD-CIFLOU AGENCE"), (None, "AGENCE CIFLOU JUBARD")]
+    df = spark.createDataFrame([*((*t, None) for t in typed), *known], "entry_id bigint, company_name_raw string, siren string").withColumns({"label": F.lit("clash"), "words": F.lit("clash")})
+    got = sorted(tuple(r) for r in names.entity_pairs(df).collect())
+    assert [p for p in got if p[0] < 100] == [*((a, b) for a, b in itertools.combinations((1, 2, 7, 11), 2)), (8, 9)]
+    assert [p for p in got if p[0] >= 100] == [(100 + k, 200 + k) for k in range(24)]
     assert names.entity_pairs(df.limit(0)).count() == 0
 
 
-def test_blocking_meets_all_near_names_of_a_place(spark):
-    rng = np.random.default_rng(11)
-    bases = ["".join(rng.choice(list("AEIBRT"), n)) for n in (1, 2, 3, 5, 6, 8, 9, 12, 17) for _ in range(6)]
-
-    def typed(name):
-        for _ in range(int(rng.integers(0, 5))):
-            i = int(rng.integers(0, len(name) + 1))
-            name = name[:i] + str(rng.choice(["", "A", "X"])) + name[i + int(rng.integers(0, 2)) :]
-        return name
-
-    row = lambda k, name: (k, name, "", f"7500{k % 2}" if k % 3 else "", "LYON" if k % 5 else "")
-    rows = [[row(k, f(b)) for k, b in enumerate(bases * 3)] for f in (typed, str)]
-    rows = [[*r, (900, "ABRITETI", "TETIABRI", "75001", "")] for r in rows]
-    left, right = (spark.createDataFrame(r, "id bigint, glued string, turned string, postal string, city string") for r in rows)
-    with_ = [(x, y) for x in rows[0] for y in rows[1] if x[3] == y[3] != "" or x[4] == y[4] != ""]
-    pairs = [(x[0], y[0], a, b) for x, y in with_ for a in x[1:3] for b in y[1:3] if a and b]
-    off = spark.createDataFrame(pairs, "l bigint, r bigint, a string, b string").select("l", "r", F.levenshtein("a", "b").alias("d"), F.greatest(F.length("a"), F.length("b")).alias("n"))
-    want = {(r.l, r.r) for r in off.collect() if r.d <= linkage.edits_allowed(r.n)}
-    for piece in (7, 10**6):
-        assert {tuple(r) for r in linkage.near_pairs(left, right, piece).collect()} == want, piece
+def test_near_words_share_a_key():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        word = "".join(rng.choice(list("ABCDEFGHILMNOPRSTU"), int(rng.integers(8, 14))))
+        i = int(rng.integers(0, len(word)))
+        other = word[:i] + str(rng.choice(["", "X", word[i] + "X"])) + word[i + 1 :]
+        assert set(linkage.name_keys(word)) & set(linkage.name_keys(other)), (word, other)
 
 
 def test_linkage_words_and_weights():
@@ -179,8 +211,6 @@ def test_extraction_match(spark):
     assert got.get("r0") == f"{0:014}" and got.get("r3") == f"{2:014}" and "r1" not in got and "r2" not in got
 
 
-
-
 def test_extraction_match_with_both_ends_of_the_name_misspelt(spark):
     unit = ["denominationUniteLegale", "denominationUsuelle1UniteLegale", "denominationUsuelle2UniteLegale", "denominationUsuelle3UniteLegale", "nomUniteLegale", "prenom1UniteLegale"]
     place = ["numeroVoieEtablissement", "libelleVoieEtablissement", "codePostalEtablissement", "libelleCommuneEtablissement"]
