@@ -30,7 +30,10 @@ LEVELS = {
 }
 #: Least confidence of a match.
 CONFIDENCE = 0.5
-FIELDS = "label string, glued string, turned string, postal string, department string, city string, number string, street string, keys array<bigint>"
+NAME = "struct<label:string,glued:string,turned:string>"
+FIELDS = f"names array<{NAME}>, postal string, department string, city string, number string, street string, keys array<bigint>"
+#: Names of a unit that are held in one record; a unit with more has several records.
+NAMES = 64
 
 
 @lru_cache(maxsize=100_000)
@@ -61,78 +64,95 @@ def name_keys(word: str) -> list[str]:
     return [f"f{word[:4]}", f"l{word[-4:]}", *(f"m{word[k : k + 4]}" for k in range(max(0, middle - 1), min(n - 4, middle + 1) + 1) if n >= 7)]
 
 
-def record(vocabulary: Vocabulary, name: str | None, postal: str | None, city: str | None, number: str | None, street: str | None, cedex: dict[str, str]) -> tuple:
-    """FIELDS of one record; its keys are those of all blocking passes."""
-    label, words = vocabulary.parsed(name_words(name)) or ("", [])
+def record(vocabulary: Vocabulary, names: list[str | None], postal: str | None, city: str | None, number: str | None, street: str | None, cedex: dict[str, str], held: bool) -> tuple:
+    """FIELDS of one record, of the registry if ``held``; its keys are those of all blocking passes.
+
+    A street with a number meets the same number, or none; one without a number meets all of that street.
+    """
     digits = re.sub(r"\D", "", postal or "")
     digits = cedex.get(digits, digits)
     place = city_name(city)
     no, way = street_parts(street, number)
     code = digits if len(digits) == 5 else ""
     department = digits[:2] if len(digits) in (2, 4, 5) else ""
-    stem = re.sub(r"^(SAINTE?|LES|LE|LA)", "", place)
-    keys = []
-    for w in dict.fromkeys(words):
-        if len(w) >= 3:
-            for k in name_keys(w):
-                keys += [f"p{code}{k}"] * bool(code) + [f"c{place}{k}"] * bool(place)
-            if len(w) >= 6:
-                for k in (f"f{w[:6]}", f"l{w[-6:]}"):
-                    keys += [f"d{department}{k}"] * bool(department) + [f"t{stem[:4]}{k[:6]}"] * (len(stem) >= 4)
+    stem = re.sub(r"^(SAINTE?|LES|LE|LA)", "", place)[:4]
+    wide = [x for x in (f"d{department}" if department else "", f"t{stem}" if len(stem) == 4 else "") if x]
+    narrow = [x for x in (f"p{code}" if code else "", f"c{place}" if place else "") if x]
+    parsed = [x for n in names if (x := vocabulary.parsed(name_words(n)))]
+    keys = set()
+    for w in {w for _, words in parsed for w in words if len(w) >= 3}:
+        keys.update(x + k for k in name_keys(w) for x in narrow)
+        if len(w) >= 6:
+            keys.update(x + k for k in (f"f{w[:6]}", f"l{w[-6:]}") for x in wide)
     if way:
-        keys += [f"a{code}{way}"] * bool(code) + [f"b{place}{way}"] * bool(place)
-    return label, "".join(words), "".join(words[::-1]) if len(words) > 1 else "", code, department, place, no, way, [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys]
+        ways = [f"{no} {way}", f"- {way}" if held else f"+ {way}"] if no else [f"- {way}", f"+ {way}"]
+        keys.update(x + k for k in ways for x in narrow)
+    spelt = {(label, "".join(words), "".join(words[::-1]) if len(words) > 1 else "") for label, words in parsed}
+    return [dict(zip(("label", "glued", "turned"), n)) for n in sorted(spelt)], code, department, place, no, way, [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys]
 
 
-def records(df: DataFrame, vocabulary: Vocabulary, cedex: dict[str, str]) -> DataFrame:
-    """FIELDS for rows with ``id, name, postal, city, number, street``."""
+def records(df: DataFrame, vocabulary: Vocabulary, cedex: dict[str, str], held: bool) -> DataFrame:
+    """FIELDS for rows with ``id, names, postal, city, number, street``."""
+    name = pa.struct([(c, pa.string()) for c in ("label", "glued", "turned")])
+    types = [pa.list_(name), *[pa.string()] * 5, pa.list_(pa.int64())]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [record(vocabulary, *row, cedex) for row in zip(*(c.to_pylist() for c in batch.columns[1:]))]
-            columns = [pa.array([g[k] for g in got], pa.string() if k < 8 else pa.list_(pa.int64())) for k in range(9)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "label", "glued", "turned", "postal", "department", "city", "number", "street", "keys"])
+            got = [record(vocabulary, *row, cedex, held) for row in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[k] for g in got], t) for k, t in enumerate(types))], names=["id", "names", "postal", "department", "city", "number", "street", "keys"])
 
-    return df.select("id", "name", "postal", "city", "number", "street").mapInArrow(work, f"id bigint, {FIELDS}")
+    return df.select("id", "names", "postal", "city", "number", "street").mapInArrow(work, f"id bigint, {FIELDS}")
 
 
-def taught(asked: DataFrame, registered: DataFrame) -> Vocabulary:
-    """The Vocabulary of the names of both sides."""
-    every = asked.select("name").distinct().withColumn("registered", F.lit(False)).unionByName(registered.select("name").distinct().withColumn("registered", F.lit(True)))
-    every = cut(every.where("name is not null").withColumn("id", F.monotonically_increasing_id()))
-    forms = with_words(every, "id", "name").join(every.select("id", "registered"), "id").groupBy("words").agg(F.min("id").alias("id"), F.max("registered").alias("registered"))
-    return learned(forms)
+def taught(asked: DataFrame, etab: DataFrame) -> Vocabulary:
+    """The Vocabulary of the names asked for and of the units' legal names."""
+    u = F.col("uniteLegale")
+    legal = etab.select(F.coalesce(u["denominationUniteLegale"], F.concat_ws(" ", u["prenom1UniteLegale"], u["nomUniteLegale"])).alias("name")).distinct()
+    every = asked.select("name").distinct().withColumn("registered", F.lit(False)).unionByName(legal.withColumn("registered", F.lit(True)))
+    every = every.where("name is not null").withColumn("key", F.concat(F.col("registered").cast("string"), "name"))
+    forms = with_words(every, "key", "name").groupBy("words").agg(F.max(F.startswith("key", F.lit("true"))).alias("registered")).withColumn("id", F.monotonically_increasing_id())
+    return learned(cut(forms))
 
 
-def registry_variants(etab: DataFrame) -> DataFrame:
-    """All names and addresses that any delivery gives a siret: distinct ``siret, name, postal, city, number, street``."""
+def registry_units(etab: DataFrame) -> DataFrame:
+    """``siret, names, postal, city, number, street``: each address that any delivery gives a siret, with all names that the siret has there."""
     u, a = F.col("uniteLegale"), F.col("adresseEtablissement")
     signs = ["enseigne1Etablissement", "enseigne2Etablissement", "enseigne3Etablissement", "denominationUsuelleEtablissement"]
     person = F.when(u["nomUniteLegale"].isNotNull(), F.concat_ws(" ", u["prenom1UniteLegale"], u["nomUniteLegale"]))
     names = [u["denominationUniteLegale"], *[u[f"denominationUsuelle{k}UniteLegale"] for k in (1, 2, 3)], person, *[F.col(s) for s in signs]]
     old = F.flatten(F.transform(F.coalesce("periodesEtablissement", F.array().cast(dict(etab.dtypes)["periodesEtablissement"])), lambda p: F.array(*[p[s] for s in signs])))
-    every = F.array_distinct(F.concat(F.array(*names), old))
-    each = etab.where("siret is not null").select("siret", F.explode(F.filter(every, lambda n: F.trim(n) != "")).alias("name"), a["codePostalEtablissement"].alias("postal"), a["libelleCommuneEtablissement"].alias("city"), a["numeroVoieEtablissement"].alias("number"), a["libelleVoieEtablissement"].alias("street"))
-    return each.distinct()
+    every = F.array_distinct(F.filter(F.concat(F.array(*names), old), lambda n: F.trim(n) != ""))
+    place = ["siret", "postal", "city", "number", "street"]
+    each = etab.where("siret is not null").select("siret", a["codePostalEtablissement"].alias("postal"), a["libelleCommuneEtablissement"].alias("city"), a["numeroVoieEtablissement"].alias("number"), a["libelleVoieEtablissement"].alias("street"), every.alias("names"))
+    each = each.distinct().select(*place, F.explode_outer("names").alias("name")).distinct()
+    counted = each.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(*place).orderBy("name")) - 1) / NAMES))
+    return counted.groupBy(*place, "part").agg(F.collect_list("name").alias("names"))
 
 
 def levels(x: str, y: str) -> list[Column]:
-    """The level of each comparison of LEVELS, as its place in the list."""
+    """The level of each comparison of LEVELS, as its place in the list; with the name, its label and distance, of the nearest name."""
     a, b = lambda c: F.col(f"{x}.{c}"), lambda c: F.col(f"{y}.{c}")
     none = lambda c: (a(c) == "") | (b(c) == "")
-    size = F.greatest(F.length(a("glued")), F.length(b("glued")))
-    turned = lambda p, q: F.when(p("turned") == "", 99).otherwise(F.levenshtein(p("turned"), q("glued")))
-    distance = F.least(F.levenshtein(a("glued"), b("glued")), turned(a, b), turned(b, a))
-    name = F.when(none("glued"), 3).when(distance == 0, 0).when(distance <= F.when(size <= 5, 1).when(size <= 8, 2).otherwise(3), 1).when(distance <= 0.36 * size, 2).otherwise(4)
-    initial = F.startswith(a("label"), b("label")) | F.startswith(b("label"), a("label"))
-    label = F.when(none("label"), 1).when(initial, 0).otherwise(2)
+
+    def of_name(n: Column) -> Column:
+        m = F.get(a("names"), 0)
+        size = F.greatest(F.length(m["glued"]), F.length(n["glued"]))
+        turned = lambda p, q: F.when(p["turned"] == "", 99).otherwise(F.levenshtein(p["turned"], q["glued"]))
+        far = F.abs(F.length(m["glued"]) - F.length(n["glued"])) > F.greatest(F.lit(3), 0.3 * size)
+        distance = F.when(far, 99).otherwise(F.least(F.levenshtein(m["glued"], n["glued"]), turned(m, n), turned(n, m)))
+        label = F.when((m["label"] == "") | (n["label"] == ""), 1).when(F.startswith(m["label"], n["label"]) | F.startswith(n["label"], m["label"]), 0).otherwise(2)
+        name = F.when(distance == 0, 0).when(distance <= F.when(size <= 5, 1).when(size <= 8, 2).otherwise(3), 1).when(distance <= 0.3 * size, 2).otherwise(4)
+        return F.struct(name.alias("name"), label.alias("label"), distance.alias("off"))
+
+    nothing = F.struct(F.lit(3).alias("name"), F.lit(1).alias("label"), F.lit(99).alias("off"))
+    nearest = F.when((F.size(a("names")) == 0) | (F.size(b("names")) == 0), nothing).otherwise(F.array_min(F.transform(b("names"), of_name)))
     postal = F.when((a("department") == "") | (b("department") == ""), 1).when((a("postal") != "") & (a("postal") == b("postal")), 0).when(none("postal") & (a("department") == b("department")), 2).when((a("department") == b("department")) & (F.levenshtein(a("postal"), b("postal")) <= 1), 2).otherwise(3)
     short = F.least(F.length(a("city")), F.length(b("city")))
     near = (F.levenshtein(a("city"), b("city")) <= F.when(short >= 6, 2).otherwise(1)) | ((short >= 6) & (F.startswith(a("city"), b("city")) | F.startswith(b("city"), a("city"))))
     city = F.when(none("city"), 2).when(a("city") == b("city"), 0).when(near, 1).otherwise(3)
     number = F.when(none("number"), 1).when(a("number") == b("number"), 0).otherwise(2)
     street = F.when(none("street"), 1).when((F.levenshtein(a("street"), b("street")) <= 2), 0).otherwise(2)
-    return [c.alias(n) for c, n in zip((name, label, postal, city, number, street), LEVELS)]
+    return [nearest.alias("nearest"), *(c.alias(n) for c, n in zip((postal, city, number, street), list(LEVELS)[2:]))]
 
 
 def match_weights(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[int, ...], float]:
@@ -174,13 +194,13 @@ def matched_establishments(extraction: DataFrame, etab: DataFrame, commune: Data
     """``row_id, siret, confidence``: the establishment that each extraction row speaks of, once per ``row_id``.
 
     Rows that match nothing with ``least`` confidence, or whose city and postal code both lie elsewhere,
-    are left out; so are null row_ids. Names are compared with all names that the siret ever had. Of equal
+    are left out; so are null row_ids, and units none of whose names is alike, be their address the same. Names are compared with all names that the siret ever had. Of equal
     confidences the nearest name counts, then the head office, then the least siret. Rows of equal
     content are matched once, however many they are; null, empty and repeated values are fine, and extra
     columns are ignored.
 
     Blocking in several passes: ends and middle of a word of the name within postal code and commune; its
-    ends within department or beginning of the commune's name; and equal streets, with or without a number. Keys
+    ends within department or beginning of the commune's name; and equal streets, with equal numbers or where one has none. Keys
     are hashed, and two that fall together only add a pair. All pairs of all passes are compared; their counts by pattern, of
     which there are fewer than 4,000, reach the driver.
     """
@@ -190,16 +210,16 @@ def matched_establishments(extraction: DataFrame, etab: DataFrame, commune: Data
     raw = raw.groupBy("row_id").agg(F.min(F.struct("name", "postal", "city", "number", "street")).alias("x")).select("row_id", "x.*")
     content = ["name", "postal", "city", "number", "street"]
     asked = cut(raw.where("coalesce(name, street) is not null").select(*content).distinct().withColumn("id", F.monotonically_increasing_id()))
-    variants = cut(registry_variants(etab).withColumn("id", F.monotonically_increasing_id()))
-    vocabulary = taught(asked, variants)
-    left = cut(records(asked, vocabulary, cedex))
-    right = cut(records(variants, vocabulary, cedex))
+    vocabulary = taught(asked, etab)
+    left = cut(records(asked.withColumn("names", F.array("name")), vocabulary, cedex, False))
+    units = cut(registry_units(etab).withColumn("id", F.monotonically_increasing_id()))
+    right = cut(records(units, vocabulary, cedex, True))
 
     keys = lambda df, name: df.select(F.col("id").alias(name), F.explode("keys").alias("key"))
     pairs = keys(left, "l").join(keys(right, "r"), "key").select("l", "r").distinct()
-    compared = pairs.join(left.alias("x"), F.col("l") == F.col("x.id")).join(right.alias("y"), F.col("r") == F.col("y.id")).select("l", "r", *levels("x", "y"), F.levenshtein("x.glued", "y.glued").alias("off"))
+    compared = pairs.join(left.drop("keys").alias("x"), F.col("l") == F.col("x.id")).join(right.drop("keys").alias("y"), F.col("r") == F.col("y.id")).select("l", "r", *levels("x", "y"))
     elsewhere = (F.col("postal") == 3) & (F.col("city") == 3)
-    compared = cut(compared.where(~elsewhere))
+    compared = cut(compared.where(~elsewhere & (F.col("nearest.name") < 4)).select("l", "r", "nearest.name", "nearest.label", "nearest.off", *list(LEVELS)[2:]))
 
     names = list(LEVELS)
     counted = [(tuple(r[n] for n in names), r["count"]) for r in compared.groupBy(*names).count().collect()]  # fewer than 4,000 patterns
@@ -207,7 +227,7 @@ def matched_establishments(extraction: DataFrame, etab: DataFrame, commune: Data
     table = compared.sparkSession.createDataFrame([(*p, x) for p, x in weights.items()], ", ".join(f"{n} int" for n in names) + ", confidence double")
     scored = compared.join(F.broadcast(table), names).where(F.col("confidence") >= least)
     office = etab.groupBy("siret").agg(F.max(F.coalesce("etablissementSiege", F.lit(False))).alias("head"))
-    scored = scored.join(variants.select(F.col("id").alias("r"), "siret"), "r").groupBy("l", "siret").agg(F.max(F.struct("confidence", (-F.col("off")).alias("off"))).alias("best")).join(office, "siret")
+    scored = scored.join(units.select(F.col("id").alias("r"), "siret"), "r").groupBy("l", "siret").agg(F.max(F.struct("confidence", (-F.col("off")).alias("off"))).alias("best")).join(office, "siret")
     first = Window.partitionBy("l").orderBy(F.col("best.confidence").desc(), F.col("best.off").desc(), F.col("head").desc(), "siret")
     chosen = scored.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("l").alias("id"), "siret", F.col("best.confidence").alias("confidence"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in content]
