@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ LEVELS = {
     "number": ["equal", "missing", "other"],
     "street": ["equal", "missing", "other"],
 }
+#: Share of a name's letters that may be edited in one that is still alike.
+ALIKE = 0.3
 #: Least confidence of a match.
 CONFIDENCE = 0.5
 NAME = "struct<label:string,glued:string,turned:string>"
@@ -38,8 +41,10 @@ NAMES = 64
 
 @lru_cache(maxsize=100_000)
 def city_name(text: str | None) -> str:
-    """A commune's name, glued: saints written out, without CEDEX, district or country."""
-    t = re.sub(r"[^A-Z0-9]+", " ", folded(text or ""))
+    """A commune's name, glued: saints, sous and sur written out, without CEDEX, district or country."""
+    t = re.sub(r"\bS/S[A-Z]?\b", " SOUS ", folded(text or ""))
+    t = re.sub(r"(\bS)?/", " SUR ", t)
+    t = re.sub(r"[^A-Z0-9]+", " ", t)
     t = re.sub(r"\bCEDEX\b.*$|\b\d+ ?(ER|E|EME) ?(ARR\w*)?\b|\bFRANCE\b|\bARRONDISSEMENT\b|\d+", " ", t)
     t = re.sub(r"\bSTE\b", "SAINTE", re.sub(r"\bST\b", "SAINT", t))
     return re.sub(r"\b(S)\b", "SUR", t).replace(" ", "")
@@ -57,6 +62,7 @@ def street_parts(text: str | None, number: str | None = None) -> tuple[str, str]
     return digits.lstrip("0"), street_name(text or "")
 
 
+@lru_cache(maxsize=100_000)
 def name_keys(word: str) -> list[str]:
     """Parts of a word of which two near words share one: both ends, and the middle as others may see it shifted by a letter."""
     n = len(word)
@@ -88,18 +94,25 @@ def record(vocabulary: Vocabulary, names: list[str | None], postal: str | None,
         ways = [f"{no} {way}", f"- {way}" if held else f"+ {way}"] if no else [f"- {way}", f"+ {way}"]
         keys.update(x + k for k in ways for x in narrow)
     spelt = {(label, "".join(words), "".join(words[::-1]) if len(words) > 1 else "") for label, words in parsed}
-    return [dict(zip(("label", "glued", "turned"), n)) for n in sorted(spelt)], code, department, place, no, way, [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys]
+    return sorted(spelt), code, department, place, no, way, list(map(xxhash.xxh3_64_intdigest, keys))
 
 
 def records(df: DataFrame, vocabulary: Vocabulary, cedex: dict[str, str], held: bool) -> DataFrame:
     """FIELDS for rows with ``id, names, postal, city, number, street``."""
-    name = pa.struct([(c, pa.string()) for c in ("label", "glued", "turned")])
-    types = [pa.list_(name), *[pa.string()] * 5, pa.list_(pa.int64())]
+
+    def lists(rows: list[list], values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), values)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [record(vocabulary, *row, cedex, held) for row in zip(*(c.to_pylist() for c in batch.columns[1:]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[k] for g in got], t) for k, t in enumerate(types))], names=["id", "names", "postal", "department", "city", "number", "street", "keys"])
+            every = list(chain.from_iterable(g[0] for g in got))
+            names = pa.StructArray.from_arrays([pa.array([n[k] for n in every], pa.string()) for k in range(3)], names=["label", "glued", "turned"])
+            keys = pa.array(np.fromiter(chain.from_iterable(g[6] for g in got), dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), lists([g[0] for g in got], names), *(pa.array([g[k] for g in got], pa.string()) for k in range(1, 6)), lists([g[6] for g in got], keys)],
+                names=["id", "names", "postal", "department", "city", "number", "street", "keys"],
+            )
 
     return df.select("id", "names", "postal", "city", "number", "street").mapInArrow(work, f"id bigint, {FIELDS}")
 
@@ -115,7 +128,7 @@ def taught(asked: DataFrame, etab: DataFrame) -> Vocabulary:
 
 
 def registry_units(etab: DataFrame) -> DataFrame:
-    """``siret, names, postal, city, number, street``: each address that any delivery gives a siret, with all names that the siret has there."""
+    """``siret, names, postal, city, number, street, head``: each address that any delivery gives a siret, with all names that the siret has there, and whether it was ever a head office."""
     u, a = F.col("uniteLegale"), F.col("adresseEtablissement")
     signs = ["enseigne1Etablissement", "enseigne2Etablissement", "enseigne3Etablissement", "denominationUsuelleEtablissement"]
     person = F.when(u["nomUniteLegale"].isNotNull(), F.concat_ws(" ", u["prenom1UniteLegale"], u["nomUniteLegale"]))
@@ -123,10 +136,10 @@ def registry_units(etab: DataFrame) -> DataFrame:
     old = F.flatten(F.transform(F.coalesce("periodesEtablissement", F.array().cast(dict(etab.dtypes)["periodesEtablissement"])), lambda p: F.array(*[p[s] for s in signs])))
     every = F.array_distinct(F.filter(F.concat(F.array(*names), old), lambda n: F.trim(n) != ""))
     place = ["siret", "postal", "city", "number", "street"]
-    each = etab.where("siret is not null").select("siret", a["codePostalEtablissement"].alias("postal"), a["libelleCommuneEtablissement"].alias("city"), a["numeroVoieEtablissement"].alias("number"), a["libelleVoieEtablissement"].alias("street"), every.alias("names"))
-    each = each.distinct().select(*place, F.explode_outer("names").alias("name")).distinct()
+    each = etab.where("siret is not null").select("siret", a["codePostalEtablissement"].alias("postal"), a["libelleCommuneEtablissement"].alias("city"), a["numeroVoieEtablissement"].alias("number"), a["libelleVoieEtablissement"].alias("street"), every.alias("names"), F.coalesce("etablissementSiege", F.lit(False)).alias("head"))
+    each = each.select(*place, "head", F.explode_outer("names").alias("name")).groupBy(*place, "name").agg(F.max("head").alias("head"))
     counted = each.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(*place).orderBy("name")) - 1) / NAMES))
-    return counted.groupBy(*place, "part").agg(F.collect_list("name").alias("names"))
+    return counted.groupBy(*place, "part").agg(F.collect_list("name").alias("names"), F.max("head").alias("head"))
 
 
 def levels(x: str, y: str) -> list[Column]:
@@ -134,18 +147,23 @@ def levels(x: str, y: str) -> list[Column]:
     a, b = lambda c: F.col(f"{x}.{c}"), lambda c: F.col(f"{y}.{c}")
     none = lambda c: (a(c) == "") | (b(c) == "")
 
-    def of_name(n: Column) -> Column:
-        m = F.get(a("names"), 0)
-        size = F.greatest(F.length(m["glued"]), F.length(n["glued"]))
-        turned = lambda p, q: F.when(p["turned"] == "", 99).otherwise(F.levenshtein(p["turned"], q["glued"]))
-        far = F.abs(F.length(m["glued"]) - F.length(n["glued"])) > F.greatest(F.lit(3), 0.3 * size)
+    m = F.get(a("names"), 0)
+    size = lambda n: F.greatest(F.length(m["glued"]), F.length(n["glued"]))
+    turned = lambda p, q: F.when(p["turned"] == "", 99).otherwise(F.levenshtein(p["turned"], q["glued"]))
+
+    def measured(n: Column) -> Column:
+        far = F.abs(F.length(m["glued"]) - F.length(n["glued"])) > F.greatest(F.lit(3), ALIKE * size(n))
         distance = F.when(far, 99).otherwise(F.least(F.levenshtein(m["glued"], n["glued"]), turned(m, n), turned(n, m)))
         label = F.when((m["label"] == "") | (n["label"] == ""), 1).when(F.startswith(m["label"], n["label"]) | F.startswith(n["label"], m["label"]), 0).otherwise(2)
-        name = F.when(distance == 0, 0).when(distance <= F.when(size <= 5, 1).when(size <= 8, 2).otherwise(3), 1).when(distance <= 0.3 * size, 2).otherwise(4)
-        return F.struct(name.alias("name"), label.alias("label"), distance.alias("off"))
+        return F.struct(distance.alias("off"), label.alias("label"), size(n).alias("size"))
+
+    def graded(d: Column) -> Column:
+        near = F.when(d["size"] <= 5, 1).when(d["size"] <= 8, 2).otherwise(3)
+        name = F.when(d["off"] == 0, 0).when(d["off"] <= near, 1).when(d["off"] <= ALIKE * d["size"], 2).otherwise(4)
+        return F.struct(name.alias("name"), d["label"].alias("label"), d["off"].alias("off"))
 
     nothing = F.struct(F.lit(3).alias("name"), F.lit(1).alias("label"), F.lit(99).alias("off"))
-    nearest = F.when((F.size(a("names")) == 0) | (F.size(b("names")) == 0), nothing).otherwise(F.array_min(F.transform(b("names"), of_name)))
+    nearest = F.when((F.size(a("names")) == 0) | (F.size(b("names")) == 0), nothing).otherwise(F.array_min(F.transform(F.transform(b("names"), measured), graded)))
     postal = F.when((a("department") == "") | (b("department") == ""), 1).when((a("postal") != "") & (a("postal") == b("postal")), 0).when(none("postal") & (a("department") == b("department")), 2).when((a("department") == b("department")) & (F.levenshtein(a("postal"), b("postal")) <= 1), 2).otherwise(3)
     short = F.least(F.length(a("city")), F.length(b("city")))
     near = (F.levenshtein(a("city"), b("city")) <= F.when(short >= 6, 2).otherwise(1)) | ((short >= 6) & (F.startswith(a("city"), b("city")) | F.startswith(b("city"), a("city"))))
@@ -155,8 +173,8 @@ def levels(x: str, y: str) -> list[Column]:
     return [nearest.alias("nearest"), *(c.alias(n) for c, n in zip((postal, city, number, street), list(LEVELS)[2:]))]
 
 
-def match_weights(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[int, ...], float]:
-    """The probability that a pair of each pattern is a match, by expectation and maximisation over counts of patterns.
+def match_weights(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[int, ...], tuple[float, float]]:
+    """The probability that a pair of each pattern is a match, and its log odds, by expectation and maximisation over counts of patterns.
 
     Comparisons count as independent; a missing one weighs nothing. Starts from levels that fall
     geometrically from best to worst among matches, and rise among others.
@@ -187,15 +205,15 @@ def match_weights(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60)
                 hit = at[:, k] == lv
                 m[k][lv] = (post * counts)[hit].sum() + 0.01
                 u[k][lv] = ((1 - post) * counts)[hit].sum() + 0.01
-    return {p: float(x) for (p, _), x in zip(patterns, post)}
+    return {p: (float(x), float(o)) for (p, _), x, o in zip(patterns, post, odds)}
 
 
 def matched_establishments(extraction: DataFrame, etab: DataFrame, commune: DataFrame, least: float = CONFIDENCE) -> DataFrame:
     """``row_id, siret, confidence``: the establishment that each extraction row speaks of, once per ``row_id``.
 
     Rows that match nothing with ``least`` confidence, or whose city and postal code both lie elsewhere,
-    are left out; so are null row_ids, and units none of whose names is alike, be their address the same. Names are compared with all names that the siret ever had. Of equal
-    confidences the nearest name counts, then the head office, then the least siret. Rows of equal
+    or the only one of them that they give (unless street and number are the same), are left out; so are null row_ids, and units none of whose names is alike, be their address the same. Names are compared with all names that the siret ever had. Of equal
+    odds the nearest name counts, then the head office, then the least siret. Rows of equal
     content are matched once, however many they are; null, empty and repeated values are fine, and extra
     columns are ignored.
 
@@ -218,17 +236,17 @@ def matched_establishments(extraction: DataFrame, etab: DataFrame, commune: Data
     keys = lambda df, name: df.select(F.col("id").alias(name), F.explode("keys").alias("key"))
     pairs = keys(left, "l").join(keys(right, "r"), "key").select("l", "r").distinct()
     compared = pairs.join(left.drop("keys").alias("x"), F.col("l") == F.col("x.id")).join(right.drop("keys").alias("y"), F.col("r") == F.col("y.id")).select("l", "r", *levels("x", "y"))
-    elsewhere = (F.col("postal") == 3) & (F.col("city") == 3)
+    at_door = (F.col("number") == 0) & (F.col("street") == 0)
+    elsewhere = (F.col("postal") == 3) & (F.col("city") == 3) | ((F.col("postal") == 3) & (F.col("city") == 2) | (F.col("postal") == 1) & (F.col("city") == 3)) & ~at_door
     compared = cut(compared.where(~elsewhere & (F.col("nearest.name") < 4)).select("l", "r", "nearest.name", "nearest.label", "nearest.off", *list(LEVELS)[2:]))
 
     names = list(LEVELS)
     counted = [(tuple(r[n] for n in names), r["count"]) for r in compared.groupBy(*names).count().collect()]  # fewer than 4,000 patterns
     weights = match_weights(counted)
-    table = compared.sparkSession.createDataFrame([(*p, x) for p, x in weights.items()], ", ".join(f"{n} int" for n in names) + ", confidence double")
+    table = compared.sparkSession.createDataFrame([(*p, *x) for p, x in weights.items()], ", ".join(f"{n} int" for n in names) + ", confidence double, odds double")
     scored = compared.join(F.broadcast(table), names).where(F.col("confidence") >= least)
-    office = etab.groupBy("siret").agg(F.max(F.coalesce("etablissementSiege", F.lit(False))).alias("head"))
-    scored = scored.join(units.select(F.col("id").alias("r"), "siret"), "r").groupBy("l", "siret").agg(F.max(F.struct("confidence", (-F.col("off")).alias("off"))).alias("best")).join(office, "siret")
-    first = Window.partitionBy("l").orderBy(F.col("best.confidence").desc(), F.col("best.off").desc(), F.col("head").desc(), "siret")
+    scored = scored.join(units.select(F.col("id").alias("r"), "siret", "head"), "r").select("l", "siret", F.struct("odds", (-F.col("off")).alias("off"), "head", "confidence").alias("best"))
+    first = Window.partitionBy("l").orderBy(F.col("best.odds").desc(), F.col("best.off").desc(), F.col("best.head").desc(), "siret")
     chosen = scored.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("l").alias("id"), "siret", F.col("best.confidence").alias("confidence"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in content]
     return raw.alias("r").join(asked.alias("a"), same).select("r.row_id", "a.id").join(chosen, "id").select("row_id", "siret", "confidence")

@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,9 +121,9 @@ class Vocabulary:
 
     roles: dict[str, str] = field(default_factory=dict)  # a word and the role it stands for
     remarks: frozenset[str] = frozenset()
-    _near: dict = field(default_factory=dict, repr=False)
-    _letters: dict = field(default_factory=dict, repr=False)
-    _known: dict = field(default_factory=dict, repr=False)
+    _near: dict = field(default_factory=dict, repr=False, compare=False)
+    _letters: list = field(default_factory=list, repr=False, compare=False)
+    _known: dict = field(default_factory=dict, repr=False, compare=False)
 
     def short_role(self, word: str) -> str | None:
         """The only role that the word, unknown itself, is the beginning of."""
@@ -137,10 +138,9 @@ class Vocabulary:
             if len(self._near) > 200_000:
                 self._near.clear()
             if not self._letters:
-                self._letters.update((w, letters(w)) for w in self.roles)
+                self._letters.extend([list(self.roles), np.array([letters(w) for w in self.roles], dtype=np.int64)])
             most = 2 if len(word) >= 7 else 1 if len(word) >= 5 else 0
-            mine = letters(word)
-            hopeful = [w for w, m in self._letters.items() if (mine ^ m).bit_count() <= 2 * most] if most else []  # an edit changes two letters at most
+            hopeful = [self._letters[0][k] for k in np.flatnonzero(np.bitwise_count(self._letters[1] ^ letters(word)) <= 2 * most)] if most else []  # an edit changes two letters at most
             best = min(((d, w) for w in hopeful if (d := edits(word, w, most)) <= most), default=None)
             self._near[word] = self.roles[best[1]] if best else None
         return self._near[word]

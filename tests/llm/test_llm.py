@@ -165,10 +165,12 @@ def test_near_words_share_a_key():
 
 def test_linkage_words_and_weights():
     assert linkage.city_name("St. Liigny Cedex 2") == linkage.city_name("SAINT-LIIGNY") == "SAINTLIIGNY"
+    assert linkage.city_name("TAAC S/S PAIPLOR") == linkage.city_name("Taac-sous-Paiplor") and linkage.city_name("Neley/Nelje") == linkage.city_name("NELEY-SUR-NELJE")
     assert linkage.street_parts("56 rte du belvedere") == ("56", "BELVEDERE")
     counts = [((0, 0, 0, 0, 1, 1), 90), ((4, 2, 0, 0, 1, 1), 800), ((4, 0, 3, 0, 2, 2), 300), ((0, 0, 0, 1, 0, 0), 40)]
     w = linkage.match_weights(counts)
-    assert w[counts[0][0]] > 0.9 and w[counts[3][0]] > 0.9 and w[counts[1][0]] < 0.1 and w[counts[2][0]] < 0.1
+    assert w[counts[0][0]][0] > 0.9 and w[counts[3][0]][0] > 0.9 and w[counts[1][0]][0] < 0.1 and w[counts[2][0]][0] < 0.1
+    assert w[counts[3][0]][1] > w[counts[2][0]][1]
     assert linkage.match_weights([]) == {}
 
 
