@@ -30,7 +30,7 @@ LEVELS = {
     "street": ["equal", "missing", "other"],
 }
 #: Share of a name's letters that may be edited in one that is still alike.
-ALIKE = 0.3
+ALIKE = 0.32
 #: Least confidence of a match.
 CONFIDENCE = 0.5
 NAME = "struct<label:string,glued:string,turned:string>"

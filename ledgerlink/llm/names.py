@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +124,7 @@ class Vocabulary:
     roles: dict[str, str] = field(default_factory=dict)  # a word and the role it stands for
     remarks: frozenset[str] = frozenset()
     _near: dict = field(default_factory=dict, repr=False, compare=False)
+    _sorted: list = field(default_factory=list, repr=False, compare=False)
     _letters: list = field(default_factory=list, repr=False, compare=False)
     _known: dict = field(default_factory=dict, repr=False, compare=False)
 
@@ -129,7 +132,10 @@ class Vocabulary:
         """The only role that the word, unknown itself, is the beginning of."""
         if len(word) < 3:
             return None
-        begin = {r for w, r in self.roles.items() if w.startswith(word)}
+        if not self._sorted:
+            self._sorted.extend(sorted(self.roles))
+        at = bisect_left(self._sorted, word)
+        begin = {self.roles[w] for w in takewhile(lambda w: w.startswith(word), islice(self._sorted, at, None))}
         return begin.pop() if len(begin) == 1 else None
 
     def near_role(self, word: str) -> str | None:
