@@ -18,8 +18,8 @@ from ledgerlink.session import piece_rows
 DELIMITERS = [",", ";", "\t", "|"]
 #: Columns that every file has.
 NEEDED = ["FR_SIRET", "Transaction_Date", "Amount"]
-#: Stand for line breaks within a record while it is one line of a CSV file.
-LF, CR = "\ue000", "\ue001"
+#: What the reader's kinds of error say of a record.
+ERRORS = {"UNQUOTED VALUE": "broken_quoting", "MISSING COLUMNS": "column_count", "TOO MANY COLUMNS": "column_count"}
 
 VALUES = r"""
 with t as (select id,
@@ -61,36 +61,70 @@ def header_of(line: str | None) -> tuple[str, list[str]] | None:
     return None
 
 
-def duckdb_pass(con, files: list[tuple[list[int], list[str]]], delimiter: str, width: int) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+def stand_ins(records: list[str], n: int) -> list[str]:
+    """``n`` private characters that stand in none of the records."""
+    used = {c for r in records if not r.isascii() for c in r}
+    return [c for c in map(chr, range(0xE000, 0xF8FF)) if c not in used][:n]
+
+
+def duckdb_pass(con, files: list[tuple[list[int], list[str]]], delimiter: str, width: int) -> tuple[dict[int, list[str]], dict[int, str]]:
     """Reads the files, given as ordinals and records, with reject tables.
 
-    Returns the ordinals of the rows read, their fields, and the reason by ordinal of those rejected.
+    Returns the fields of the rows read by ordinal, and the reason of those rejected. An ordinal in neither
+    was lost with a quote that never closes.
     """
+    lf, cr, null = stand_ins([r for _, records in files for r in records], 3)
     with tempfile.TemporaryDirectory() as scratch:  # lives no longer than this call, read by nobody else
-        paths, longest = [], 0
+        paths, longest, size = [], 0, 0
         for k, (ordinals, records) in enumerate(files):
             paths.append(os.path.join(scratch, f"{k}.csv"))
+            lines = [f"{o}{delimiter}{r}\n" for o, r in zip(ordinals, (r.replace("\n", lf).replace("\r", cr) for r in records))]
             with open(paths[-1], "w", encoding="utf-8", errors="replace", newline="") as f:
-                for o, r in zip(ordinals, records):
-                    f.write(f"{o}{delimiter}{r}\n")
-            longest = max(longest, os.path.getsize(paths[-1]))
+                f.writelines(lines)
+            size, longest = max(size, 4 * sum(map(len, lines))), max(longest, *map(len, lines))
         columns = {"ordinal": "BIGINT"} | {f"c{k}": "VARCHAR" for k in range(width)}
-        line = min(longest + 1024, max(2_000_000, 4 * max(len(r) for _, records in files for r in records) + 1024))
+        line = min(size + 1024, max(2_000_000, 4 * longest + 1024))
         got = con.sql(
-            f"select * from read_csv($files, delim=$delim, quote='\"', escape='\"', header=false, auto_detect=false, columns={columns!r}, store_rejects=true, strict_mode=true, new_line='\\n', nullstr='\x01', parallel=false, max_line_size={line}, buffer_size={2 * line})",
-            params={"files": paths, "delim": delimiter},
+            f"select * from read_csv($files, delim=$delim, quote='\"', escape='\"', header=false, auto_detect=false, columns={columns!r}, store_rejects=true, strict_mode=true, new_line='\\n', nullstr=$null, parallel=false, max_line_size={line}, buffer_size={2 * line})",
+            params={"files": paths, "delim": delimiter, "null": null},
         ).to_arrow_table()
         errors = con.execute("select csv_line, error_type from reject_errors").fetchall()
         con.execute("drop table reject_errors; drop table reject_scans")
     reasons: dict[int, str] = {}
     for text, kind in errors:
         first = (text or "").split(delimiter, 1)[0]
-        if first.isdigit() and kind in ("MISSING COLUMNS", "TOO MANY COLUMNS", "UNQUOTED VALUE"):
-            reason = "broken_quoting" if kind == "UNQUOTED VALUE" else "column_count"
-            if reasons.get(int(first)) != "broken_quoting":
-                reasons[int(first)] = reason
-    cells = np.stack([np.array(c.to_pylist(), dtype=object) for c in got.columns[1:]], axis=1) if got.num_rows else np.empty((0, width), dtype=object)
-    return got.column(0).to_numpy(), cells, reasons
+        if first.isdigit() and reasons.get(int(first)) != "broken_quoting":
+            reasons[int(first)] = ERRORS.get(kind, "unreadable")
+    back = lambda x: x.replace(lf, "\n").replace(cr, "\r") if x is not None else ""
+    rows = zip(*(c.to_pylist() for c in got.columns))
+    read = {o: list(map(back, fields)) for o, *fields in rows if o not in reasons and not any("\n" in f for f in fields if f)}  # a real line end in a field: the next records went with it
+    return read, reasons
+
+
+def read_records(con, by_file: dict[int, list[int]], raw: list[str], delimiter: str, width: int) -> tuple[dict[int, list[str]], dict[int, str], int]:
+    """Fields by ordinal of the records that load, reasons of those that don't, and how many the exact check decided.
+
+    Records with an odd number of quotes are read alone, each as a file of its own, for they would take
+    those behind them along; so are any that another record took along. One that is lost even so has a
+    quote that never closes. The reader lets quotes pass inside an unquoted field and blanks around a quoted
+    one: only for what it read, or counted columns of, the exact check says whether the quoting is right.
+    """
+    odd = {i for ids in by_file.values() for i in ids if raw[i].count('"') % 2}
+    files = [(ids, [raw[i] for i in ids]) for ids in ([i for i in x if i not in odd] for x in by_file.values()) if ids]
+    read, reasons = duckdb_pass(con, files, delimiter, width) if files else ({}, {})
+    alone = [i for ids in by_file.values() for i in ids if i not in read and i not in reasons]
+    if alone:
+        again, why = duckdb_pass(con, [([i], [raw[i]]) for i in alone], delimiter, width)
+        read.update(again)
+        reasons.update(why)
+        reasons.update((i, "broken_quoting") for i in alone if i not in again and i not in why)
+    decided = 0
+    for i in [i for ids in by_file.values() for i in ids if '"' in raw[i] and reasons.get(i) != "broken_quoting"]:
+        if exact_fields(raw[i], delimiter) is None:
+            decided += 1
+            reasons[i] = "broken_quoting"
+            read.pop(i, None)
+    return read, reasons, decided
 
 
 def split_batch(con, pdf: pd.DataFrame, headers: dict, with_fields: bool) -> pd.DataFrame:
@@ -111,28 +145,18 @@ def split_batch(con, pdf: pd.DataFrame, headers: dict, with_fields: bool) -> pd.
             state[i] = "blank"
         elif head[i] is None:
             reason[i] = "no_header"
-        elif r.count('"') % 2:  # would swallow the records after it
-            reason[i] = "broken_quoting"
         else:
             groups.setdefault((head[i][0], len(head[i][1])), {}).setdefault(pdf["file_id"].iat[i], []).append(i)
-    loaded: dict[int, np.ndarray] = {}
+    good: list[int] = []
     for (delimiter, width), by_file in groups.items():
-        files = [(ids, [raw[i].replace("\n", LF).replace("\r", CR) for i in ids]) for ids in by_file.values()]
-        ordinals, cells, rejected = duckdb_pass(con, files, delimiter, width)
-        loaded.update(zip(ordinals.tolist(), cells))
-        for i, x in rejected.items():
-            reason[i] = x
-    for i in (i for g in groups.values() for ids in g.values() for i in ids):
-        if '"' in raw[i] or (i not in loaded and reason[i] is None):  # exact where quotes are, and where the reader lost its place
-            got = exact_fields(raw[i], head[i][0])
-            reason[i] = "broken_quoting" if got is None else "column_count" if len(got) != len(head[i][1]) else None
-            if got is not None and reason[i] is None:
-                loaded[i] = got
-    good = [i for i in loaded if reason[i] is None]
-    for i in good:
-        d = dict(zip(head[i][1], (x if x is None else x.replace(LF, "\n").replace(CR, "\r") for x in loaded[i])))
-        values[i] = [d[x] for x in NEEDED]
-        fields[i] = d if with_fields else None
+        read, reasons, _ = read_records(con, by_file, raw, delimiter, width)
+        for i, why in reasons.items():
+            reason[i] = why
+        for i, got in read.items():
+            d = dict(zip(head[i][1], got))
+            values[i] = [d[x] for x in NEEDED]
+            fields[i] = d if with_fields else None
+            good.append(i)
     given = pd.DataFrame({"id": np.array(good, dtype="int64"), "siret": pd.Series(values[good, 0] if good else [], dtype="string"), "day": pd.Series(values[good, 1] if good else [], dtype="string"), "amount": pd.Series(values[good, 2] if good else [], dtype="string")})
     con.register("given", given)
     typed = con.sql(VALUES).to_arrow_table()
@@ -145,19 +169,19 @@ def split_batch(con, pdf: pd.DataFrame, headers: dict, with_fields: bool) -> pd.
     return pd.DataFrame({"line_id": pdf["line_id"], "file_id": pdf["file_id"], "line_no": pdf["line_no"], "raw": pdf["raw"], "state": state, "reason": reason, "siret": siret, "day": day, "amount": amount, "fields": [f if s == "loaded" else None for f, s in zip(fields, state)]})
 
 
-def split_uploads(records: DataFrame, with_fields: bool = True, piece: int = 200_000) -> DataFrame:
+def split_uploads(records: DataFrame, with_fields: bool = True, piece: int = 20_000) -> DataFrame:
     """Uploaded records with their state, and typed values or the first reason of fault that applies.
 
     ``records`` has line_id, file_id, line_no and raw; other columns are ignored. Adds ``state`` (header,
-    blank, loaded, rejected), ``reason`` (no_header, broken_quoting, column_count, invalid_siret,
+    blank, loaded, rejected), ``reason`` (no_header, broken_quoting, column_count, unreadable, invalid_siret,
     invalid_date, invalid_amount; with rejected only), ``siret``, ``day``, ``amount`` and ``fields`` (all
     columns by name; with loaded only). Null and white-space records are blank. A file's header is its
     record of line_no 1 with the least line_id; without one, or without a file_id, its records are
     rejected as no_header. A repeated record is judged each time. Long records are read whole.
 
     Each worker writes its share of a file as a CSV file, one record a line behind its ordinal, and reads
-    it with DuckDB's reject tables. Records whose quotes are odd would swallow others and stay out; those
-    with quotes, and any that the reader lost, are checked exactly afterwards. A file with more than
+    it with DuckDB; the errors of the reject tables, joined to the records by that ordinal, are the
+    reasons. See read_records for what the reader lets pass. A file with more than
     ``piece`` records isn't gathered: its header goes to wherever its records are.
     """
     r = records.select("line_id", "file_id", "line_no", "raw")

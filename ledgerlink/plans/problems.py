@@ -25,6 +25,11 @@ def p2_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_uploads(table(spark, sf_dir, "upload_raw")).select("line_id", "file_id", "line_no", "raw", "state", "reason", "siret", "day", "amount", "fields")
 
 
+def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of every loaded record."""
+    return split_uploads(table(spark, sf_dir, "upload_raw")).where("state = 'loaded'").select("line_id", F.explode("fields").alias("name", "value"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_uploads(table(spark, sf_dir, "upload_raw"), with_fields=False).where("state = 'rejected' and reason <> 'no_header'").select("line_id", "reason")
 
@@ -43,7 +48,7 @@ def p4_table(child: str):
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_attributes": p1_attributes, "p2_found": p2_found, "p2_rows": p2_rows, "p4_found": p4_found,
+        "p1_found": p1_found, "p1_attributes": p1_attributes, "p2_found": p2_found, "p2_rows": p2_rows, "p2_values": p2_values, "p4_found": p4_found,
         "p4_establishments": p4_table("etablissement"), "p4_legal_units": p4_table("uniteLegale"), "p4_addresses": p4_table("adresseEtablissement"), "p4_second_addresses": p4_table("adresse2Etablissement"), "p4_periods": p4_table("periodesEtablissement"),
     }
 
@@ -77,10 +82,9 @@ w as (select *, f is null as broken, len(f) <> len(names) as odd, regexp_replace
     regexp_replace(f[list_position(names, 'Transaction_Date')], '^[\s\x{{00A0}}\x{{202F}}]+|[\s\x{{00A0}}\x{{202F}}]+$', '', 'g') as t,
     regexp_replace(f[list_position(names, 'Amount')], '^[\s\x{{00A0}}\x{{202F}}]+|[\s\x{{00A0}}\x{{202F}}]+$', '', 'g') as a from r),
 x as (select *, case when regexp_full_match(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then t when regexp_full_match(t, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}|[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}') then t[7:10] || '-' || t[4:5] || '-' || t[1:2] end as iso from w)
-select line_id, case when broken then 'broken_quoting' when odd then 'column_count' when s <> '' and not regexp_full_match(s, '[0-9]{{14}}') then 'invalid_siret'
+y as (select *, case when broken then 'broken_quoting' when odd then 'column_count' when s <> '' and not regexp_full_match(s, '[0-9]{{14}}') then 'invalid_siret'
     when t <> '' and (iso is null or iso like '0000%' or try_cast(iso as date) is null) then 'invalid_date'
-    when a <> '' and not regexp_full_match(a, '-?[0-9]+([.,][0-9]+)?') then 'invalid_amount' end as reason
-from x where reason is not null
+    when a <> '' and not regexp_full_match(a, '-?[0-9]+([.,][0-9]+)?') then 'invalid_amount' end as reason from x)
 """
 P4 = """
 with b as (select page_id, cast(body as json) as j from registry_page where json_valid(body) and json_type(body) = 'OBJECT'),
@@ -115,7 +119,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1 + "select row_id, delivery_id, p.dateDebut as date_debut from p where p is not null",
         "p1_attributes": P1 + "select row_id, siret, day, delivery_id, p.dateDebut as date_debut, p.etatAdministratifEtablissement as status, p.enseigne1Etablissement as sign, p.activitePrincipaleEtablissement as activity from p",
-        "p2_found": P2,
+        "p2_found": P2 + "select line_id, reason from y where reason is not null",
+        "p2_values": P2 + "select line_id, unnest(names) as name, unnest(f) as value from y where reason is null",
         "p4_found": f"{P4} select page_id, etab_idx, siret, child, child_idx from ({every})",
         "p4_establishments": f"{P4} select page_id, etab_idx, e->>'$.siret' as siret, {_fields('etablissement', 'e')} from k",
         "p4_legal_units": one["uniteLegale"], "p4_addresses": one["adresseEtablissement"], "p4_second_addresses": one["adresse2Etablissement"], "p4_periods": one["periodesEtablissement"],

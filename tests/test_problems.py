@@ -62,6 +62,26 @@ def test_uploads_are_split_with_reasons(spark):
     assert rejects.split_uploads(df.limit(0)).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet='aé;"\n\r \ue000', min_size=1, max_size=9), min_size=1, max_size=9))
+def test_reject_tables_tell_what_an_exact_parser_tells(records):
+    import duckdb
+
+    read, reasons, _ = rejects.read_records(duckdb.connect(), {0: list(range(len(records)))}, records, ";", 3)
+    for i, r in enumerate(records):
+        got = rejects.exact_fields(r, ";")
+        assert reasons.get(i) == ("broken_quoting" if got is None else "column_count" if len(got) != 3 else None), r
+        assert read.get(i) == (got if got is not None and len(got) == 3 else None)
+
+
+def test_reasons_come_from_the_reject_tables(monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(rejects, "duckdb_pass", lambda *_: ({}, {}))
+    read, reasons, _ = rejects.read_records(duckdb.connect(), {0: [0, 1, 2]}, ["a;b;c", "a;b", '"a";b;c'], ";", 3)
+    assert not read and "column_count" not in reasons.values()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet='a;"\n ', max_size=6), min_size=1, max_size=4))
 def test_exact_fields_read_what_was_written(fields):
