@@ -81,7 +81,7 @@ r as (select line_id, u.file_id, line_no, raw, names, case d {P2_BRANCHES} end a
 w as (select *, f is null as broken, len(f) <> len(names) as odd, regexp_replace(f[list_position(names, 'FR_SIRET')], '[ \t\x{{00A0}}\x{{202F}}.\-]', '', 'g') as s,
     regexp_replace(f[list_position(names, 'Transaction_Date')], '^[\s\x{{00A0}}\x{{202F}}]+|[\s\x{{00A0}}\x{{202F}}]+$', '', 'g') as t,
     regexp_replace(f[list_position(names, 'Amount')], '^[\s\x{{00A0}}\x{{202F}}]+|[\s\x{{00A0}}\x{{202F}}]+$', '', 'g') as a from r),
-x as (select *, case when regexp_full_match(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then t when regexp_full_match(t, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}|[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}') then t[7:10] || '-' || t[4:5] || '-' || t[1:2] end as iso from w)
+x as (select *, case when regexp_full_match(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then t when regexp_full_match(t, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}|[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}') then t[7:10] || '-' || t[4:5] || '-' || t[1:2] end as iso from w),
 y as (select *, case when broken then 'broken_quoting' when odd then 'column_count' when s <> '' and not regexp_full_match(s, '[0-9]{{14}}') then 'invalid_siret'
     when t <> '' and (iso is null or iso like '0000%' or try_cast(iso as date) is null) then 'invalid_date'
     when a <> '' and not regexp_full_match(a, '-?[0-9]+([.,][0-9]+)?') then 'invalid_amount' end as reason from x)
