@@ -13,8 +13,12 @@ from ledgerlink.session import cut
 
 #: Steps of the capacity on which patterns are enumerated, and documents in a pattern at most.
 GRID, DEPTH = 128, 3
+#: Shares of the fitted patterns that are tried.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
 #: Rows that the table of capacities may have: its plan is made on the driver.
 MOST_PACKS = 1000
+#: Runs of the plan up to which it is broadcast.
+MOST_RUNS = 500_000
 #: Groups in which items of one size are counted off.
 SALTS = 256
 
@@ -61,96 +65,131 @@ def non_negative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 400)
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
+class Containers:
+    """Containers being filled, in runs: rows of ``(size, from item, from container, items in each container)``."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.left = dict(histogram)
+        self.taken = dict.fromkeys(histogram, 0)
+        self.sizes = sorted(histogram)
+        self.capacity = capacity
+        self.rows: list[tuple[int, int, int, int]] = []
+        self.gaps: dict[int, list[tuple[int, int]]] = {}  # by space left: first container and number of containers
+        self.spaces: list[int] = []
+        self.number = 0
+
+    def put(self, size: int, n: int, first: int, each: int = 1) -> None:
+        self.rows.append((size, self.taken[size], first, each))
+        self.taken[size] += n
+        self.left[size] -= n
+
+    def leave(self, space: int, first: int, n: int) -> None:
+        if n and space:
+            if space not in self.gaps:
+                self.gaps[space] = []
+                bisect.insort(self.spaces, space)
+            self.gaps[space].append((first, n))
+
+    def fill_patterns(self, shapes: list[tuple[int, ...]], times: np.ndarray, by_bin: dict[int, list[int]]) -> None:
+        """Opens containers for patterns of bins of sizes, the most frequent first."""
+        for k in np.argsort(-times, kind="stable"):
+            p = shapes[k]
+            n = min(int(times[k]), *(sum(self.left[s] for s in by_bin[b]) // p.count(b) for b in p[:1] + p[:-1]))
+            if n <= 0:
+                continue
+            runs = [(self.number, n, self.capacity)]
+            self.number += n
+            for b in p[:-1]:
+                runs = [r for run in runs for r in self._spread(*run, by_bin[b])]
+            for first, count, space in runs:
+                self._finish(first, count, space)
+
+    def _spread(self, first: int, count: int, space: int, sizes: list[int]) -> list[tuple[int, int, int]]:
+        """One item of the bin into each container of a run, the largest first; the runs that this leaves."""
+        runs = []
+        for s in sizes:
+            m = min(count, self.left[s]) if s <= space else 0
+            if m:
+                self.put(s, m, first)
+                runs.append((first, m, space - s))
+                first, count = first + m, count - m
+        return [*runs, (first, count, space)] if count else runs
+
+    def _finish(self, first: int, count: int, space: int) -> None:
+        """The last item of a pattern: the largest that there is for the space, whatever its bin, so that none is left."""
+        at = bisect.bisect_right(self.sizes, space) - 1
+        while count and at >= 0:
+            s = self.sizes[at]
+            m = min(count, self.left[s])
+            if m:
+                self.put(s, m, first)
+                self.leave(space - s, first, m)
+                first, count = first + m, count - m
+            at -= 1
+        self.leave(space, first, count)
+
+    def fill_gaps(self) -> None:
+        """What is left, largest items first, each into the smallest gap that holds it, or new containers."""
+        for s in sorted(self.left, reverse=True):
+            while self.left[s]:
+                k = bisect.bisect_left(self.spaces, s)
+                if k == len(self.spaces):
+                    n = -(-self.left[s] // (self.capacity // s))
+                    self.leave(self.capacity, self.number, n)
+                    self.number += n
+                    k = bisect.bisect_left(self.spaces, s)
+                space = self.spaces[k]
+                first, n = self.gaps[space].pop()
+                if not self.gaps[space]:
+                    del self.gaps[space], self.spaces[k]
+                each = space // s
+                full = min(n, self.left[s] // each)
+                if full:
+                    self.put(s, full * each, first, each)
+                    self.leave(space - each * s, first, full)
+                rest = min(self.left[s], each) if full < n and self.left[s] < each else 0
+                if rest:
+                    self.put(s, rest, first + full, each)
+                    self.leave(space - rest * s, first + full, 1)
+                used = full + bool(rest)
+                self.leave(space, first + used, n - used)
+
+
+def plan(histogram: dict[int, int], capacity: int, shares: tuple[float, ...] = SHARES) -> list[tuple[int, int, int, int]]:
     """Where the items of each size go: ``(size, from item, from container, items in each container)``.
 
     Works on counts of sizes only, so that its cost depends on the capacity and not on the number of
-    items. Patterns fitted to the histogram come first; what is left fills gaps, largest items first,
-    each in the smallest gap that holds it.
+    items. Patterns are fitted to the histogram; a share of their counts is packed, and what is left fills
+    gaps, largest items first, each in the smallest gap that holds it. Of the ``shares`` the one that needs
+    the fewest containers counts, of equals the greatest; as the least of them leaves everything to the
+    gaps, patterns never cost a container.
     """
-    left = {s: n for s, n in histogram.items() if n > 0 and 0 < s <= capacity}
-    taken = dict.fromkeys(left, 0)
-    rows: list[tuple[int, int, int, int]] = []
-    gaps: dict[int, list[list[int]]] = {}  # by space left: first container and number of containers
-    spaces: list[int] = []
-    containers = 0
-
-    def put(size: int, n: int, first: int, each: int = 1) -> None:
-        rows.append((size, taken[size], first, each))
-        taken[size] += n
-        left[size] -= n
-
-    def leave(space: int, first: int, n: int) -> None:
-        if n and space:
-            if space not in gaps:
-                gaps[space] = []
-                bisect.insort(spaces, space)
-            gaps[space].append([first, n])
-
+    sizes = {s: n for s, n in histogram.items() if n > 0 and 0 < s <= capacity}
     grid = min(GRID, capacity)
-    bin_of = {s: -(-s * grid // capacity) for s in left}
+    bin_of = {s: -(-s * grid // capacity) for s in sizes}
     by_bin: dict[int, list[int]] = {}
-    for s in sorted(left, reverse=True):
+    for s in sorted(sizes, reverse=True):
         by_bin.setdefault(bin_of[s], []).append(s)
     filled = np.zeros(grid + 1)
-    for s, n in left.items():
+    for s, n in sizes.items():
         filled[bin_of[s]] += n
     shapes = [p for p in patterns(grid, DEPTH) if all(filled[b] for b in p)]
+    times = np.zeros(len(shapes))
     if shapes:
         a = np.zeros((grid + 1, len(shapes)))
         for k, p in enumerate(shapes):
             for b in p:
                 a[b, k] += 1
         weight = np.where(np.arange(grid + 1) > grid // 8, 1.0, 0.3)[:, None]  # small items are of use in gaps
-        times = np.floor(non_negative_least_squares(a * weight, filled * weight[:, 0]) + 0.5).astype(int)
-        for k in np.argsort(-times, kind="stable"):
-            p = shapes[k]
-            n = min(int(times[k]), *(sum(left[s] for s in by_bin[b]) // p.count(b) for b in p))
-            if n <= 0:
-                continue
-            open_runs = [(containers, n, capacity)]
-            containers += n
-            for b in p:
-                runs = []
-                for first, count, space in open_runs:
-                    while count:
-                        s = next(s for s in by_bin[b] if left[s])
-                        m = min(count, left[s])
-                        put(s, m, first)
-                        runs.append((first, m, space - s))
-                        first, count = first + m, count - m
-                open_runs = runs
-            for first, count, space in open_runs:
-                leave(space, first, count)
-    for s in sorted(left, reverse=True):
-        while left[s]:
-            k = bisect.bisect_left(spaces, s)
-            if k == len(spaces):
-                each = capacity // s
-                n = -(-left[s] // each)
-                leave(capacity, containers, n)
-                containers += n
-                k = bisect.bisect_left(spaces, s)
-            space = spaces[k]
-            first, n = gaps[space].pop()
-            if not gaps[space]:
-                del gaps[space], spaces[k]
-            each = space // s
-            full = min(n, left[s] // each)
-            if full:
-                put(s, full * each, first, each)
-                leave(space - full_size(each, s), first, full)
-            rest = min(left[s], each) if full < n and left[s] < each else 0
-            if rest:
-                put(s, rest, first + full, each)
-                leave(space - rest * s, first + full, 1)
-            used = full + (1 if rest else 0)
-            leave(space, first + used, n - used)
-    return rows
-
-
-def full_size(each: int, size: int) -> int:
-    return each * size
+        times = non_negative_least_squares(a * weight, filled * weight[:, 0])
+    best = None
+    for share in shares:
+        c = Containers(sizes, capacity)
+        c.fill_patterns(shapes, np.floor(times * share + 0.5).astype(int), by_bin)
+        c.fill_gaps()
+        if best is None or (c.number, -share) < best[0]:
+            best = (c.number, -share), c.rows
+    return best[1]
 
 
 def packed_documents(documents: DataFrame, packs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
@@ -182,13 +221,14 @@ def packed_documents(documents: DataFrame, packs: DataFrame, folder: str = TOKEN
     runs = [(r.pack_id, *row) for r in wanted for row in plan(histogram.get(r.pack_id, {}), r.capacity)]
     rows = spark.createDataFrame(runs, "pack_id int, size int, item bigint, container bigint, each int")
     by_size = rows.groupBy("pack_id", "size").agg(F.array_sort(F.collect_list(F.struct("item", "container", "each"))).alias("runs"))
+    by_size = F.broadcast(by_size) if len(runs) <= MOST_RUNS else by_size
 
     items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
     group = ["pack_id", "size", "salt"]
     before = Window.partitionBy("pack_id", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = items.groupBy(*group).agg(F.count("*").alias("k")).select(*group, F.coalesce(F.sum("k").over(before), F.lit(0)).alias("offset"))
     numbered = items.withColumn("i", F.row_number().over(Window.partitionBy(*group).orderBy("doc_id", "piece")) - 1)
-    numbered = numbered.join(offsets, group).withColumn("i", F.col("i") + F.col("offset")).join(F.broadcast(by_size), ["pack_id", "size"], "left")
+    numbered = numbered.join(offsets, group).withColumn("i", F.col("i") + F.col("offset")).join(by_size, ["pack_id", "size"], "left")
     run = F.try_element_at("runs", F.size(F.filter("runs", lambda r: r["item"] <= F.col("i"))))
     container = F.coalesce(run["container"] + F.floor((F.col("i") - run["item"]) / run["each"]), F.lit(0)).cast("bigint")
     return numbered.select("pack_id", container.alias("container_id"), "doc_id", "piece", (F.col("piece") * F.col("capacity")).cast("bigint").alias("from_token"), F.col("size").alias("n_tokens"))

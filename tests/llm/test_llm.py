@@ -58,6 +58,19 @@ def test_plan_holds_every_item_and_no_container_too_much(histogram):
     assert count == histogram and max(load.values(), default=0) <= 64
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 60), min_size=1, max_size=40))
+def test_patterns_never_cost_a_container(histogram):
+    used = lambda rows: 1 + max(first + (n - 1) // each for (size, item, first, each), n in zip(rows, runs(rows)))
+
+    def runs(rows):
+        for size, item, _, _ in rows:
+            later = [i for s, i, _, _ in rows if s == size and i > item]
+            yield min(later, default=histogram[size]) - item
+
+    assert used(packing.plan(histogram, 64)) <= used(packing.plan(histogram, 64, (0.0,)))
+
+
 def test_least_squares():
     a = np.array([[1.0, 0, 1], [0, 1, 1]])
     assert packing.non_negative_least_squares(a, np.array([2.0, 3.0])) @ a.T == pytest.approx([2, 3])
