@@ -205,8 +205,9 @@ def thousands(c: Column) -> Column:
 
 
 def short_hash(c: Column) -> Column:
-    """Eight hexadecimal digits: h = (33 h + code) mod 2**31 from 5381 on, over the characters."""
-    h = F.aggregate(F.transform(F.filter(F.split(text(c), ""), lambda x: x != ""), F.ascii), F.lit(5381).cast("bigint"), lambda h, x: F.pmod(h * 33 + x, F.lit(2147483648)))
+    """Eight hexadecimal digits: h = (33 h + code) mod 2**31 from 5381 on, over the text's units of 16 bits."""
+    units = F.filter(F.split(F.hex(F.encode(text(c), "UTF-16BE")), "(?<=\\G.{4})"), lambda x: x != "")
+    h = F.aggregate(units, F.lit(5381).cast("bigint"), lambda h, x: F.pmod(h * 33 + F.conv(x, 16, 10).cast("bigint"), F.lit(2147483648)))
     return F.lpad(F.lower(F.hex(h)), 8, "0")
 
 

@@ -26,7 +26,10 @@ def exact_ids(cells: Column) -> tuple[Column, Column]:
 
 
 def word_kind(w: Column) -> Column:
-    """``identity`` for identifiers, ``noise`` for stop words, accounting, telephones and what is too short, else ``supporting``."""
+    """``noise`` for stop words, accounting, telephones and what is too short, ``identity`` for identifiers, else ``supporting``.
+
+    As the rules apply in this order, a bare identifier is noise: five digits and more are, whatever they are.
+    """
     t = N.token(w)
     noise = (t == "") | t.isin(N.STOPWORDS) | t.rlike(f"(?i){INVOICE}") | t.rlike(PHONE) | (t.rlike(r"^[A-Z]*[0-9]{5,}$"))
     return F.when(noise, "noise").when(t.rlike(r"^([0-9]{9}|[0-9]{14})$"), "identity").when(t.isin(N.LEGAL_FORMS), "supporting").when(F.length(t) <= 2, "noise").otherwise("supporting")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,9 +67,53 @@ def jaro_winkler_of(a: str | None, b: str | None) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts, one a row, and their lengths."""
+    size = np.array([len(t) for t in texts])
+    width = max(1, int(size.max(initial=0)))
+    padded = "".join(t.ljust(width, "\0") for t in texts)
+    return np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(texts), width), size
+
+
+def jaro_winkler_block(a: list[str], b: list[str]) -> np.ndarray:
+    """jaro_winkler_of for pairs of texts that aren't empty, all at once: one step for each letter of the longest."""
+    (x, nx), (y, ny) = _codes(a), _codes(b)
+    reach = np.maximum(0, np.maximum(nx, ny) // 2 - 1)[:, None]
+    at, column = np.arange(len(a)), np.arange(y.shape[1])[None, :]
+    hit, taken = np.zeros(x.shape, dtype=bool), np.zeros(y.shape, dtype=bool)
+    for i in range(x.shape[1]):
+        fits = (y == x[:, i : i + 1]) & ~taken & (np.abs(column - i) <= reach) & (column < ny[:, None]) & (i < nx)[:, None]
+        first = fits.argmax(axis=1)
+        found = fits[at, first]
+        hit[:, i] = found
+        taken[at[found], first[found]] = True
+    m = hit.sum(axis=1)
+    order = lambda mask: np.argsort(~mask, axis=1, kind="stable")[:, : int(m.max(initial=0))]
+    left, right = np.take_along_axis(x, order(hit), axis=1), np.take_along_axis(y, order(taken), axis=1)
+    swaps = ((left != right) & (np.arange(left.shape[1])[None, :] < m[:, None])).sum(axis=1) / 2
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / nx + m / ny + (m - swaps) / some) / 3, 0.0)
+    w = min(4, x.shape[1], y.shape[1])
+    same = (x[:, :w] == y[:, :w]) & (np.arange(w)[None, :] < np.minimum(nx, ny)[:, None])
+    prefix = np.cumprod(same, axis=1).sum(axis=1)
+    return np.where(m > 0, jaro + prefix * 0.1 * (1 - jaro), 0.0)
+
+
+#: Letters of a text beyond which its pairs are compared one by one, so that a block's table stays small.
+WIDEST = 256
+
+
 def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple, float] = {}
-    return pd.Series([known[k] if k in known else known.setdefault(k, jaro_winkler_of(*k)) for k in zip(a, b)])
+    out = np.zeros(len(a))
+    x, y = a.fillna("").to_list(), b.fillna("").to_list()
+    usual = [i for i, (s, t) in enumerate(zip(x, y)) if s and t and max(len(s), len(t)) <= WIDEST]
+    for k in range(0, len(usual), 4096):
+        part = usual[k : k + 4096]
+        out[part] = jaro_winkler_block([x[i] for i in part], [y[i] for i in part])
+    for i, (s, t) in enumerate(zip(x, y)):
+        if max(len(s), len(t)) > WIDEST:
+            out[i] = jaro_winkler_of(s, t)
+    return pd.Series(out)
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:

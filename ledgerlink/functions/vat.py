@@ -83,7 +83,7 @@ def shown_number(country: Column, number: Column, original: Column) -> Column:
 
 
 def address_lines(c: Column) -> Column:
-    return F.filter(F.transform(F.split(text(c), r"\r?\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text(c), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def identifier_kind(c: Column) -> tuple[Column, Column]:

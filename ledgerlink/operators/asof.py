@@ -11,7 +11,7 @@ from ledgerlink.session import packed, piece_rows
 OUTER = r"^[\s\u00a0\u202f]+|[\s\u00a0\u202f]+$"
 
 
-def known_at(events: DataFrame, versions: DataFrame, event_key: Column, event_day: Column, version_key: Column, version_day: Column, version_order: Column, shard_rows: int = 200_000) -> DataFrame:
+def known_at(events: DataFrame, versions: DataFrame, event_key: Column, event_day: Column, version_key: Column, version_day: Column, version_order: Column, shard_rows: int = 20_000) -> DataFrame:
     """Each event with the entity's version that was the latest known on the event's day.
 
     Returns ``event`` (all columns of ``events`` as a struct) and ``version`` (all columns of ``versions``
@@ -75,7 +75,7 @@ def period_on(periods: Column, day: Column) -> Column:
     return F.array_max(F.filter(periods, holds))
 
 
-def erp_attributes(erp: DataFrame, etab: DataFrame, shard_rows: int = 200_000) -> DataFrame:
+def erp_attributes(erp: DataFrame, etab: DataFrame, shard_rows: int = 20_000) -> DataFrame:
     """ERP rows with the delivery known on their day and the period that held by it, once per ``row_id``.
 
     Rows without ``row_id``, without 14 digits in ``Original_SIRET`` or without a real date are no cases.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlink.functions import normalize as N
 from ledgerlink.functions import similarity as S
-from ledgerlink.session import cut
+from ledgerlink.session import cut, drop
 
 # Fixed values of the decision rules.
 WEIGHTS = {"identifier": 0.52, "name": 0.23, "geo": 0.13, "address": 0.05, "temporal": 0.04, "legal_form": 0.02, "lucene": 0.01}
@@ -146,7 +146,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null").distinct())
     nodes = e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct()
-    e = e.where("a <> b")
+    e = first = e.where("a <> b")
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -155,6 +155,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
         new = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         changed = new.exceptAll(e).limit(1).count() + e.exceptAll(new).limit(1).count()
+        if e is not first:  # the nodes are read from the first
+            drop(e)
         e = new
         if not changed:
             break

@@ -34,6 +34,10 @@ class Index:
     place: np.ndarray  # and how many commas of that node stand before it
 
 
+#: Levels that are told apart: envelope, array, establishment, children and their elements; what is deeper is text.
+DEEPEST = 6
+
+
 def structural_index(buf: np.ndarray, starts: np.ndarray) -> Index:
     """Indexes bodies that follow each other in ``buf`` and are each ended by a line break."""
     pos = np.flatnonzero(_KIND[buf])
@@ -62,7 +66,7 @@ def structural_index(buf: np.ndarray, starts: np.ndarray) -> Index:
     place[:] = 0
     close_level, commas = depth[closes] + 1, np.flatnonzero(byte == COMMA)
     comma_depth = depth[commas]
-    for lv in range(1, int(level.max(initial=0)) + 1):
+    for lv in range(1, min(DEEPEST, int(level.max(initial=0))) + 1):
         mine = np.flatnonzero(level == lv)
         ends = closes[close_level == lv]
         at = np.searchsorted(ends, opens[mine])
@@ -200,8 +204,8 @@ def linked_rows(pages: DataFrame) -> DataFrame:
 ADDRESS = "complementAdresseEtablissement string, numeroVoieEtablissement string, typeVoieEtablissement string, libelleVoieEtablissement string, codePostalEtablissement string, libelleCommuneEtablissement string, codeCommuneEtablissement string"
 #: Columns of the flat tables; whatever type a value had, it is text here.
 TABLES = {
-    "etablissement": "siren string, nic string, etablissementSiege string, dateCreationEtablissement string, trancheEffectifsEtablissement string",
-    "uniteLegale": "siren string, denominationUniteLegale string, denominationUsuelle1UniteLegale string, nomUniteLegale string, prenom1UniteLegale string, categorieJuridiqueUniteLegale string, etatAdministratifUniteLegale string",
+    "etablissement": "siren string, nic string, etablissementSiege string, etatAdministratifEtablissement string, dateCreationEtablissement string, trancheEffectifsEtablissement string, dateDernierTraitementEtablissement string, enseigne1Etablissement string, enseigne2Etablissement string, enseigne3Etablissement string, denominationUsuelleEtablissement string",
+    "uniteLegale": "siren string, denominationUniteLegale string, denominationUsuelle1UniteLegale string, denominationUsuelle2UniteLegale string, denominationUsuelle3UniteLegale string, nomUniteLegale string, prenom1UniteLegale string, categorieJuridiqueUniteLegale string, etatAdministratifUniteLegale string",
     "adresseEtablissement": ADDRESS,
     "adresse2Etablissement": ADDRESS,
     "periodesEtablissement": "dateDebut string, dateFin string, etatAdministratifEtablissement string, enseigne1Etablissement string, enseigne2Etablissement string, enseigne3Etablissement string, denominationUsuelleEtablissement string, activitePrincipaleEtablissement string",

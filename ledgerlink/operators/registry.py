@@ -11,7 +11,7 @@ from ledgerlink.functions import normalize as N
 def latest(etab: DataFrame) -> DataFrame:
     """One row per siret, as last delivered; of equal times the greatest delivery."""
     row = F.struct(*[F.col(c) for c in etab.columns])
-    return etab.where("siret is not null").groupBy("siret").agg(F.max_by(row, F.struct("dateDernierTraitementEtablissement", "delivery_id")).alias("r")).select("r.*")
+    return etab.where("siret is not null").groupBy("siret").agg(F.max_by(row, F.struct("dateDernierTraitementEtablissement", "delivery_id")).alias("_r")).select(*[F.col(c) if c == "siret" else F.col("_r")[c].alias(c) for c in etab.columns])
 
 
 def current_period(periods: Column) -> Column:
@@ -58,14 +58,16 @@ def enriched(uploads: DataFrame, registry: DataFrame, key: Column) -> DataFrame:
     exact = F.length(d) == 14
     lookup = F.when(exact, d).otherwise(N.padded_siret(key))
     r = registry.select(F.col("siret").alias("_siret"), F.struct(*[F.col(c) for c in registry.columns]).alias("etablissement"))
-    out = uploads.withColumn("_digits", d).withColumn("_lookup", lookup).join(r, F.col("_lookup") == F.col("_siret"), "left")
+    keyed = uploads.withColumn("_digits", d).withColumn("_lookup", lookup)
+    out = keyed.where("_lookup is not null").join(r, F.col("_lookup") == F.col("_siret"), "left").unionByName(keyed.where("_lookup is null"), allowMissingColumns=True)  # rows without key need no shuffle
     found = F.col("_siret").isNotNull()
     status = F.when(F.col("_digits") == "", "SKIPPED").when(found, "OK").when(F.length("_digits") == 14, "NOT_FOUND").otherwise("INVALID_SIRET")
     return out.withColumn("status", status).withColumn("used_siret", F.when(found, F.col("_siret")).otherwise(F.col("_digits"))).drop("_digits", "_lookup", "_siret")
 
 
 def vat_enriched(requests: DataFrame, register: DataFrame) -> DataFrame:
-    """Requests (country, number) with the register's answer, each pair looked up once: MISSING_VAT, INVALID_INPUT, NOT_FOUND, VALID, INVALID."""
+    """Requests (country, number) with the register's answer, each pair looked up once, nulls as '': MISSING_VAT, INVALID_INPUT, NOT_FOUND, VALID, INVALID."""
+    requests = requests.withColumns({c: F.coalesce(c, F.lit("")) for c in ("country", "number")})
     asked = requests.select("country", "number").distinct().join(register, ["country", "number"], "left")
     status = F.when(F.col("number") == "", "MISSING_VAT").when(~F.col("country").rlike("^[A-Z]{2}$") | ~F.col("number").rlike("^[A-Z0-9+*]+$"), "INVALID_INPUT").when(F.col("is_valid").isNull(), "NOT_FOUND").when(F.col("is_valid"), "VALID").otherwise("INVALID")
     return requests.join(asked, ["country", "number"], "left").withColumn("vat_status", status)

@@ -20,7 +20,7 @@ def by_siren(rows: DataFrame, registry: DataFrame, siren: Column) -> DataFrame:
     head = ~F.coalesce("etablissementSiege", F.lit(False))
     units = registry.where("siren is not null").groupBy(F.col("siren").alias("_siren")).agg(F.min_by("siret", F.struct(head, "siret")).alias("siret"), F.count("*").alias("_n"))
     out = rows.withColumn("_key", siren).join(units, F.col("_key") == F.col("_siren"), "left")
-    return out.withColumns({"candidate_count": F.least("_n", F.lit(MOST_CANDIDATES)), "several": F.col("_n") > 1}).drop("_key", "_siren", "_n")
+    return out.withColumns({"candidate_count": F.when(F.col("_n").isNotNull(), F.least("_n", F.lit(MOST_CANDIDATES))), "several": F.col("_n") > 1}).drop("_key", "_siren", "_n")
 
 
 def first_resolved(strategies: dict[str, DataFrame], key: str, value: str) -> DataFrame:

@@ -127,7 +127,7 @@ def first_seen(spark, sf_dir):
 HQ = "h as (select siren, count(*) as n, arg_min(siret, (not coalesce(etablissementSiege, false), siret)) as siret from l where siren is not null group by siren)"
 
 
-@query("siren_resolve", f"with {LATEST}, {HQ} select row_id, h.siret, least(h.n, 20) as candidate_count, h.n > 1 as several from (select distinct row_id, {digits('Original_SIREN')} as s from erp_row) e left join h on h.siren = case when length(s) = 9 then s end")
+@query("siren_resolve", f"with {LATEST}, {HQ} select row_id, h.siret, case when h.n is not null then least(h.n, 20) end as candidate_count, h.n > 1 as several from (select distinct row_id, {digits('Original_SIREN')} as s from erp_row) e left join h on h.siren = case when length(s) = 9 then s end")
 def siren_resolve(spark, sf_dir):
     """The establishment that stands for a row's SIREN: the head office, else the least SIRET."""
     rows = table(spark, sf_dir, "erp_row").select("row_id", N.digits(C("Original_SIREN")).alias("s")).distinct()

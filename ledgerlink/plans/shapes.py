@@ -56,7 +56,12 @@ def _or(*columns, last: str = ""):
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(last))
 
 
-U, A = C("uniteLegale"), C("adresseEtablissement")
+def _unit(field: str):
+    return C("uniteLegale")[field]
+
+
+def _place(field: str):
+    return C("adresseEtablissement")[field]
 
 
 @query(
@@ -73,10 +78,10 @@ def api_rows(spark, sf_dir):
     p = _first_period
     return latest(spark, sf_dir).select(
         _or(C("siret")).alias("API_SIRET"), _or(C("siren")).alias("API_SIREN"),
-        _or(p("denominationUsuelleEtablissement"), p("enseigne1Etablissement"), U["denominationUniteLegale"], last="N/A").alias("API_Nom"),
-        _or(U["denominationUniteLegale"]).alias("API_Raison_Sociale"), _or(p("etatAdministratifEtablissement")).alias("API_Etat"),
-        _or(A["numeroVoieEtablissement"]).alias("API_Adresse_Numero"), _or(A["libelleVoieEtablissement"]).alias("API_Adresse_Voie"),
-        _or(A["codePostalEtablissement"]).alias("API_Code_Postal"), _or(A["libelleCommuneEtablissement"]).alias("API_Commune"),
+        _or(p("denominationUsuelleEtablissement"), p("enseigne1Etablissement"), _unit("denominationUniteLegale"), last="N/A").alias("API_Nom"),
+        _or(_unit("denominationUniteLegale")).alias("API_Raison_Sociale"), _or(p("etatAdministratifEtablissement")).alias("API_Etat"),
+        _or(_place("numeroVoieEtablissement")).alias("API_Adresse_Numero"), _or(_place("libelleVoieEtablissement")).alias("API_Adresse_Voie"),
+        _or(_place("codePostalEtablissement")).alias("API_Code_Postal"), _or(_place("libelleCommuneEtablissement")).alias("API_Commune"),
         _or(p("activitePrincipaleEtablissement")).alias("API_Activite"), F.when(C("etablissementSiege"), "Oui").otherwise("Non").alias("API_Siege"),
     )
 
@@ -121,9 +126,9 @@ def kpi_columns(spark, sf_dir):
     e = latest(spark, sf_dir)
     counts = e.groupBy(C("siren").alias("_siren")).agg(F.count("*").alias("KPI_ESTABLISHMENT_COUNT"))
     return e.join(counts, C("siren").eqNullSafe(C("_siren"))).select(
-        C("siret").alias("KPI_SIRET"), C("siren").alias("KPI_SIREN"), _or(p("denominationUsuelleEtablissement"), p("enseigne1Etablissement"), U["denominationUniteLegale"]).alias("KPI_COMPANY_NAME"), _or(p("etatAdministratifEtablissement")).alias("KPI_ADMIN_STATUS"),
+        C("siret").alias("KPI_SIRET"), C("siren").alias("KPI_SIREN"), _or(p("denominationUsuelleEtablissement"), p("enseigne1Etablissement"), _unit("denominationUniteLegale")).alias("KPI_COMPANY_NAME"), _or(p("etatAdministratifEtablissement")).alias("KPI_ADMIN_STATUS"),
         F.when(C("etablissementSiege"), "YES").otherwise("NO").alias("KPI_IS_HEADQUARTERS"), _or(C("dateCreationEtablissement")).alias("KPI_CREATION_DATE"), _or(p("activitePrincipaleEtablissement")).alias("KPI_NAF"),
-        _or(A["codePostalEtablissement"]).alias("KPI_POSTAL_CODE"), _or(A["libelleCommuneEtablissement"]).alias("KPI_CITY"), "KPI_ESTABLISHMENT_COUNT",
+        _or(_place("codePostalEtablissement")).alias("KPI_POSTAL_CODE"), _or(_place("libelleCommuneEtablissement")).alias("KPI_CITY"), "KPI_ESTABLISHMENT_COUNT",
     )
 
 

@@ -23,17 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df``, written once as a table to the shared checkpoint folder and read again from there.
 
-    The folder is spark.checkpoint.dir; a folder of our own is used only where that is unset, as in tests.
+    The folder is spark.checkpoint.dir; a folder of our own is used only where that is unset on one machine, as in tests.
     The table stays readable while the session lasts, whatever executors are lost, and is removed after it.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ledgerlink-checkpoint")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        base = os.path.join(tempfile.gettempdir(), "ledgerlink-checkpoint")
     path = f"{base}/ledgerlink-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     if spark.sparkContext.applicationId not in _cleaned:
         _cleaned.add(spark.sparkContext.applicationId)
         atexit.register(_remove, spark, os.path.dirname(path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Removes a table that ``cut`` wrote and nothing reads any more, as the last round's in a loop."""
+    if path := getattr(df, "_cut_path", None):
+        _remove(df.sparkSession, path)
 
 
 _cleaned: set[str] = set()
