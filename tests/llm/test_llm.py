@@ -205,13 +205,33 @@ def test_quality_kinds(spark):
 def test_quality_measures_repetition_in_the_whole_text():
     common = {"fr": frozenset("le la de".split())}
     usual = " ".join("le mot" + "abcdefghij"[i % 10] * (1 + i // 10) for i in range(100)) + " "
-    kind = lambda t: quality.verdict(dict(zip(quality.STATS, quality.text_stats(t, common)[1])), True)
+
+
+    def kind(t):
+        stats = dict(zip(quality.STATS, quality.text_stats(t, common)[1]))
+        shape = quality.in_logs([np.array([float(stats[c])]) for c in quality.SHAPE])
+        return quality.SEEDS[quality.nearest_centre(shape, quality.seeds())[0]][0]
+
     late, early = usual + "le la " * 500, "le la " * 100 + usual * 10
     assert (kind(late), kind(early), kind("le la " * 500), kind(usual * 10)) == ("junk", "prose", "junk", "prose")
     share = lambda t: quality.text_stats(t, common)[1][quality.STATS.index("distinct_share")]
     assert share(usual * 10) == pytest.approx(share(usual)) and share(late) < 0.2 < 0.4 < share(early)
 
 
+def test_a_rare_language_leans_on_all_texts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "fr" if i % 20 else "de", *(float(x) for x in rng.normal(5, 1, len(quality.STATS)))) for i in range(400)]
+    stats = spark.createDataFrame(rows, "doc_id bigint, language string, " + ", ".join(f"{c} double" for c in quality.STATS))
+    models = quality.prose_models(stats, ["de", "es", "fr"])
+    shape = rng.normal(5, 1, (6, len(quality.SHAPE)))
+    share = quality.contributions(shape, ["fr", "de", "es", None, "xx", "fr"], models)
+    for k, lang in enumerate(["fr", "de", "es", None, None, "fr"]):
+        mean, inverse = models[lang]
+        assert share[k].sum() == pytest.approx((shape[k] - mean) @ inverse @ (shape[k] - mean))
+    assert np.allclose(models["es"][1], models[None][1]) and not np.allclose(models["de"][0], models[None][0])
+    assert quality.prose_models(stats.limit(0), ["de"]) == {}
+
+
 def test_extraction_match(spark):
     unit = "struct<denominationUniteLegale:string,denominationUsuelle1UniteLegale:string,denominationUsuelle2UniteLegale:string,denominationUsuelle3UniteLegale:string,nomUniteLegale:string,prenom1UniteLegale:string>"
     place = "struct<numeroVoieEtablissement:string,libelleVoieEtablissement:string,codePostalEtablissement:string,libelleCommuneEtablissement:string>"
