@@ -17,7 +17,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
-    from ledgerlink.plans import decisions, lookups, runs, scalars, searching, shapes  # noqa: F401
+    from ledgerlink.plans import decisions, extractions, lookups, runs, scalars, searching, shapes  # noqa: F401
 
     return QUERIES
 
