@@ -6,7 +6,7 @@ import math
 import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice, takewhile
 
@@ -200,40 +200,66 @@ def with_words(names: DataFrame, key: str, name: str) -> DataFrame:
     return names.select(key, name).mapInArrow(work, f"{key} {dict(names.dtypes)[key]}, words string")
 
 
+def pairs_of(forms: DataFrame, of: Callable[[str], Iterator[tuple[str, str]]]) -> DataFrame:
+    """``a, b``: the pairs that ``of`` gives for the words of each name."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [x for w in batch.column(0).to_pylist() for x in of(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.string())], names=["a", "b"])
+
+    return forms.select("words").mapInArrow(work, "a string, b string")
+
+
 def learned(forms: DataFrame) -> Vocabulary:
     """The Vocabulary of names ``id, words, registered``.
 
     A role is a word that most registered names which bear it know no commoner word than. Every other word
     of a typed name that stands beside names proper of the registry, and mostly beside such as bear one
     role there, is a way to write that role (abbreviation, nickname); if they bear many roles, it is a
-    remark. Words always registered together are one role. All names count; no more than LEARNED words of each kind
-    reach the driver, as each makes up that share of all words.
+    remark. Words always registered together are one role. All names count; no more than LEARNED words of
+    each kind reach the driver, as each makes up that share of all words.
     """
-    each = forms.select("id", "registered", F.explode(F.array_distinct(F.split("words", " "))).alias("word")).where((F.length("word") > 1) & (F.col("word") == F.upper("word")) & ~F.col("word").isin(*NO_NAME, *NOBODY))
-    each = cut(each)
-    registered, typed = each.where("registered").drop("registered"), each.where("not registered").drop("registered")
-    n_registered, n_typed = registered.count(), typed.count()
-    least = max(2, math.ceil(n_registered / LEARNED))
-    common = registered.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= least)
-    # fewer than LEARNED words, see least
-    ranked = cut(registered.join(F.broadcast(common), "word"))
-    first = ranked.groupBy("id").agg(F.max("df").alias("df"), F.max_by("word", "df").alias("word"), F.count("*").alias("n"))
-    second = ranked.join(first.select("id", F.col("word").alias("top")), "id").where("word <> top").groupBy("id").agg(F.max("df").alias("df2"))
-    votes = first.join(second, "id", "left").where("df2 is null or df > df2 or df >= 3").groupBy("word").count()
-    roles = {r.word: r.word for r in votes.join(F.broadcast(common), "word").where("2 * count >= df").collect()}
-    both = ranked.alias("x").join(ranked.alias("y"), "id").where("x.word < y.word").groupBy(F.col("x.word").alias("a"), F.col("y.word").alias("b"), F.col("x.df").alias("da"), F.col("y.df").alias("db")).count()
-    for r in both.where("count >= 3 and count >= 0.8 * greatest(da, db)").collect():  # compound given names
-        if r.a in roles or r.b in roles:
-            roles[r.b] = roles[r.a] = r.a
     spark = forms.sparkSession
-    known = F.broadcast(spark.createDataFrame([(w, r) for w, r in roles.items()], "word string, role string"))
-    proper = registered.join(known, "word", "left_anti")
-    bears = proper.withColumnRenamed("word", "p").join(registered.join(known, "word").select("id", "role"), "id").select("p", "role").distinct()
-    marked = typed.join(known, "word", "left_anti").join(proper.select("word").distinct().withColumn("proper", F.lit(True)), "word", "left")
-    marked = cut(marked)
-    beside = marked.select("id", F.col("word").alias("v"), F.col("proper").alias("known")).join(marked.where("proper").select("id", F.col("word").alias("p")), "id").where("v <> p")
-    beside = cut(beside.groupBy("v", "p").agg(F.max("known").alias("known")))
-    least = max(2, math.ceil(n_typed / LEARNED))
+    usual = (F.length("word") > 1) & (F.col("word") == F.upper("word")) & ~F.col("word").isin(*NO_NAME, *NOBODY)
+    known_names, typed_names = forms.where("registered"), forms.where("not registered")
+    each = lambda df: df.select("id", F.explode(F.array_distinct(F.split("words", " "))).alias("word")).where(usual)
+    counts = {r.registered: r.n for r in forms.groupBy("registered").agg(F.sum(F.size(F.split("words", " "))).alias("n")).collect()}
+    least = max(2, math.ceil(counts.get(True, 0) / LEARNED))
+    df = dict(each(known_names).groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= least).collect())  # fewer than LEARNED words
+
+    def common_words(words: str) -> list[str]:
+        return [w for w in dict.fromkeys(words.split(" ")) if w in df]
+
+    def votes(words: str) -> Iterator[tuple[str, str]]:
+        mine = common_words(words)
+        ranked = sorted(mine, key=lambda w: (-df[w], w))
+        if ranked and (len(ranked) == 1 or df[ranked[0]] > df[ranked[1]] or df[ranked[0]] >= 3):
+            yield ranked[0], ""
+        yield from ((a, b) for a in mine for b in mine if a < b)
+
+    often = F.broadcast(spark.createDataFrame([*df.items(), ("", 0)], "w string, df bigint"))
+    voted = pairs_of(known_names, votes).groupBy("a", "b").agg(F.count("*").alias("n"))
+    voted = voted.join(often.select(F.col("w").alias("a"), F.col("df").alias("da")), "a").join(often.select(F.col("w").alias("b"), F.col("df").alias("db")), "b")
+    inseparable = (F.col("b") != "") & (F.col("n") >= 3) & (F.col("n") >= 0.8 * F.greatest("da", "db"))
+    kept = sorted(tuple(r) for r in voted.where((F.col("b") == "") & (2 * F.col("n") >= F.col("da")) | inseparable).select("a", "b").collect())  # a few for each word of df
+    roles = {a: a for a, b in kept if not b}
+    for a, b in kept:
+        if b and (a in roles or b in roles):  # compound given names
+            roles[b] = roles[a] = a
+
+    def bearing(words: str) -> Iterator[tuple[str, str]]:
+        mine = [w for w in dict.fromkeys(words.split(" ")) if len(w) > 1 and w.isupper() and w not in NO_NAME and w not in NOBODY]
+        yield from ((p, roles[r]) for p in mine if p not in roles for r in mine if r in roles)
+
+    bears = pairs_of(known_names, bearing).distinct().select(F.col("a").alias("p"), F.col("b").alias("role"))
+    known = F.broadcast(spark.createDataFrame([(w,) for w in roles], "word string"))
+    proper = each(known_names).select("word").distinct().withColumn("proper", F.lit(True))
+    marked = each(typed_names).join(known, "word", "left_anti").join(proper, "word", "left")
+    of_name = marked.groupBy("id").agg(F.collect_list(F.struct("word", "proper")).alias("w"))  # the words of one name
+    beside = of_name.select(F.explode("w").alias("v"), "w").select("v", F.explode(F.filter("w", lambda x: x["proper"])).alias("p")).where("v.word <> p.word")
+    beside = cut(beside.groupBy(F.col("v.word").alias("v"), F.col("p.word").alias("p")).agg(F.max("v.proper").alias("known")))
+    least = max(2, math.ceil(counts.get(False, 0) / LEARNED))
     seen = beside.groupBy("v").agg(F.count("*").alias("c"), F.max("known").alias("known")).where(F.col("c") >= least)  # fewer than LEARNED
     shared = beside.select("v", "p").join(F.broadcast(seen), "v").join(bears, "p").groupBy("v", "c", "known", "role").count()
     best = shared.groupBy("v", "c", "known").agg(F.max(F.struct("count", "role")).alias("b")).collect()
