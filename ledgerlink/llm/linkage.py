@@ -63,11 +63,11 @@ def street_parts(text: str | None, number: str | None = None) -> tuple[str, str]
 
 
 @lru_cache(maxsize=100_000)
-def name_keys(word: str) -> list[str]:
-    """Parts of a word of which two near words share one: both ends, and the middle as others may see it shifted by a letter."""
+def name_keys(word: str, held: bool) -> list[str]:
+    """Parts of a word of which two near words share one: both ends, and the middle, held as others may see it shifted by a letter."""
     n = len(word)
     middle = (n - 4) // 2
-    return [f"f{word[:4]}", f"l{word[-4:]}", *(f"m{word[k : k + 4]}" for k in range(max(0, middle - 1), min(n - 4, middle + 1) + 1) if n >= 7)]
+    return ["f" + word[:4], "l" + word[-4:], *("m" + word[k : k + 4] for k in range(max(0, middle - held), min(n - 4, middle + held) + 1) if n >= 7)]
 
 
 def record(vocabulary: Vocabulary, names: list[str | None], postal: str | None, city: str | None, number: str | None, street: str | None, cedex: dict[str, str], held: bool) -> tuple:
@@ -87,9 +87,9 @@ def record(vocabulary: Vocabulary, names: list[str | None], postal: str | None,
     parsed = [x for n in names if (x := vocabulary.parsed(name_words(n)))]
     keys = set()
     for w in {w for _, words in parsed for w in words if len(w) >= 3}:
-        keys.update(x + k for k in name_keys(w) for x in narrow)
+        keys.update([x + k for k in name_keys(w, held) for x in narrow])
         if len(w) >= 6:
-            keys.update(x + k for k in (f"f{w[:6]}", f"l{w[-6:]}") for x in wide)
+            keys.update([x + k for k in ("f" + w[:6], "l" + w[-6:]) for x in wide])
     if way:
         ways = [f"{no} {way}", f"- {way}" if held else f"+ {way}"] if no else [f"- {way}", f"+ {way}"]
         keys.update(x + k for k in ways for x in narrow)

@@ -144,9 +144,9 @@ class Vocabulary:
             if len(self._near) > 200_000:
                 self._near.clear()
             if not self._letters:
-                self._letters.extend([list(self.roles), np.array([letters(w) for w in self.roles], dtype=np.int64)])
+                self._letters.extend([list(self.roles), np.array([letters(w) for w in self.roles], dtype=np.int64), np.array([len(w) for w in self.roles])])
             most = 2 if len(word) >= 7 else 1 if len(word) >= 5 else 0
-            hopeful = [self._letters[0][k] for k in np.flatnonzero(np.bitwise_count(self._letters[1] ^ letters(word)) <= 2 * most)] if most else []  # an edit changes two letters at most
+            hopeful = [self._letters[0][k] for k in np.flatnonzero((np.bitwise_count(self._letters[1] ^ letters(word)) <= 2 * most) & (np.abs(self._letters[2] - len(word)) <= most))] if most else []  # an edit changes two letters at most
             best = min(((d, w) for w in hopeful if (d := edits(word, w, most)) <= most), default=None)
             self._near[word] = self.roles[best[1]] if best else None
         return self._near[word]

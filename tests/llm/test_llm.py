@@ -173,7 +173,7 @@ def test_near_words_share_a_key():
         word = "".join(rng.choice(list("ABCDEFGHILMNOPRSTU"), int(rng.integers(8, 14))))
         i = int(rng.integers(0, len(word)))
         other = word[:i] + str(rng.choice(["", "X", word[i] + "X"])) + word[i + 1 :]
-        assert set(linkage.name_keys(word)) & set(linkage.name_keys(other)), (word, other)
+        assert set(linkage.name_keys(word, True)) & set(linkage.name_keys(other, False)), (word, other)
 
 
 def test_linkage_words_and_weights():
