@@ -109,12 +109,13 @@ def shortens(short: str, word: str) -> bool:
     return len(short) < len(word) and short[:1] == word[:1] and all(c in letters for c in short)
 
 
-def letters(word: str) -> int:
-    """The letters that a word has, as bits."""
-    mask = 0
-    for c in word:
-        mask |= 1 << (ord(c) - 48)
-    return mask
+#: Signs from 0 to Z.
+LETTERS = 43
+
+
+def letter_counts(word: str) -> np.ndarray:
+    """How often a word of capitals and digits has each sign."""
+    return np.bincount(np.frombuffer(word.encode(), dtype=np.uint8) - 48, minlength=LETTERS).astype(np.int16)
 
 
 @dataclass
@@ -144,9 +145,13 @@ class Vocabulary:
             if len(self._near) > 200_000:
                 self._near.clear()
             if not self._letters:
-                self._letters.extend([list(self.roles), np.array([letters(w) for w in self.roles], dtype=np.int64), np.array([len(w) for w in self.roles])])
+                self._letters.extend([list(self.roles), np.array([letter_counts(w) for w in self.roles]).reshape(-1, LETTERS)])
             most = 2 if len(word) >= 7 else 1 if len(word) >= 5 else 0
-            hopeful = [self._letters[0][k] for k in np.flatnonzero((np.bitwise_count(self._letters[1] ^ letters(word)) <= 2 * most) & (np.abs(self._letters[2] - len(word)) <= most))] if most else []  # an edit changes two letters at most
+            hopeful = []
+            if most and self.roles:
+                off = self._letters[1] - letter_counts(word)
+                more = np.maximum(off, 0).sum(axis=1)
+                hopeful = [self._letters[0][k] for k in np.flatnonzero(np.maximum(more, more - off.sum(axis=1)) <= most)]  # an edit adds or takes one letter, or both
             best = min(((d, w) for w in hopeful if (d := edits(word, w, most)) <= most), default=None)
             self._near[word] = self.roles[best[1]] if best else None
         return self._near[word]
