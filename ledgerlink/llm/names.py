@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlink.session import cut, piece_rows
+from ledgerlink.session import cut, drop, piece_rows
 
 # Words that no register of names could teach, as lists in natural order.
 LEGAL_FORMS = "EARL EI EIRL EURL GAEC GIE SA SARL SAS SASU SCA SCEA SCI SCOP SCP SELARL SNC".split()
@@ -368,12 +368,15 @@ def average_linkage(weights: DataFrame, edges: DataFrame, least: float = LINKAGE
         mutual = cut(mutual)
         if mutual.isEmpty():
             return group.select("id", "cluster")
+        past = group, sums, mutual
         group = cut(group.join(mutual, F.col("cluster") == F.col("gone"), "left").select("id", F.coalesce("into", "cluster").alias("cluster"), "weight"))
         size = group.groupBy("cluster").agg(F.sum("weight").alias("w"))
         moved = sums.join(mutual, F.col("a") == F.col("gone"), "left").withColumn("a", F.coalesce("into", "a")).drop("into", "gone")
         moved = moved.join(mutual, F.col("b") == F.col("gone"), "left").withColumn("b", F.coalesce("into", "b")).drop("into", "gone")
         moved = moved.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("t").alias("t"))
         sums = cut(moved.join(size.select(F.col("cluster").alias("a"), F.col("w").alias("wa")), "a").join(size.select(F.col("cluster").alias("b"), F.col("w").alias("wb")), "b"))
+        for table in past:
+            drop(table)
 
 
 def named_entities(names: DataFrame) -> DataFrame:
