@@ -35,7 +35,7 @@ def score_candidates(pairs: DataFrame) -> DataFrame:
     """
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
     col = F.col
-    p = pairs.withColumns({"n_name": N.core_name(col("name")), "n_names": F.transform("c_names", N.core_name), "n_city": N.city(col("city")), "m_city": N.city(col("c_city")), "n_street": N.address(col("street")), "m_street": N.address(col("c_street"))})
+    p = cut(pairs.withColumns({"n_name": N.core_name(col("name")), "n_names": F.transform("c_names", N.core_name), "n_city": N.city(col("city")), "m_city": N.city(col("c_city")), "n_street": N.address(col("street")), "m_street": N.address(col("c_street"))}))  # three readers
     texts = p.select(F.explode(F.concat(F.transform("n_names", lambda n: F.struct(col("n_name").alias("a"), n.alias("b"))), F.array(F.struct(col("n_city").alias("a"), col("m_city").alias("b")), F.struct(col("n_street").alias("a"), col("m_street").alias("b"))))).alias("t")).select("t.a", "t.b").where("a <> '' and b <> ''").distinct()
     jw = cut(texts.withColumn("jw", S.jaro_winkler(col("a"), col("b"))))
 
