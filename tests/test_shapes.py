@@ -109,3 +109,23 @@ def test_latest_lets_a_key_filter_reach_the_scan(spark):
 @given(st.lists(st.tuples(st.text(alphabet="abcé𝄞", min_size=1, max_size=9), st.text(alphabet="abcé𝄞", min_size=1, max_size=9)), min_size=1, max_size=9))
 def test_jaro_winkler_in_blocks(pairs):
     assert np.allclose(S.jaro_winkler_block([a for a, _ in pairs], [b for _, b in pairs]), [S.jaro_winkler_of(a, b) for a, b in pairs])
+
+
+def test_text_decoded_wrongly_once(spark):
+    from ledgerlink.functions import normalize as N
+
+    cases = {"CafÃ©": "Café", "Café": "Café", "Ã": "Ã", "plain": "plain", "": "", None: None, "Â€x": "Â€x"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", N.mojibake(F.col("t")).alias("x"))
+    assert {r.t: r.x for r in df.collect()} == cases
+
+
+def test_resolution_confidence(spark):
+    from ledgerlink.operators import decisions as D
+
+    schema = "id string, tier string, name string, postal string, city string, department string, c_name string, c_postal string, c_city string, api_score double, n_candidates int"
+    rows = [("exact", "siret", "ALPHA", "75001", "Paris", "75", "ALPHA", "75001", "PARIS", 100.0, 1), ("many", "tier2", "ALPHA BETA", "75001", None, "75", "ALPHA", "75002", "PARIS", None, 3), ("none", None, None, None, None, None, None, None, None, None, None), ("sea", "tier5", "X", "97400", "", "974", "Y", "97400", "", None, 1)]
+    got = {r.id: (r.confidence, r.band, r.needs_review) for r in D.resolution_confidence(spark.createDataFrame(rows, schema)).collect()}
+    assert got["exact"] == (1.0, "HIGH", False)
+    assert got["many"] == (0.4, "LOW", True)  # .33 + .06 + .18 / 2 - .08
+    assert got["none"] == (0.0, "LOW", True)
+    assert got["sea"] == (0.26, "LOW", True)  # .12 + .14: departments of three digits never agree
