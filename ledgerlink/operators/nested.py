@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of bodies that are indexed at a time; a longer body is indexed alone.
-BLOCK_BYTES = 4_000_000
+#: Bytes of bodies that are indexed at a time, and of texts given back at a time; a longer body is indexed alone.
+BLOCK_BYTES = 1_000_000
 CHILDREN = ["uniteLegale", "adresseEtablissement", "adresse2Etablissement", "periodesEtablissement"]
 QUOTE, SLASH, COLON, COMMA = b'"'[0], b"\\"[0], b":"[0], b","[0]
 _KIND = np.zeros(256, dtype=np.int8)  # 1 opens, -1 closes, 2 other structure
@@ -111,10 +112,10 @@ def valid(body: str) -> bool:
     return True
 
 
-def establishments(bodies: list[str]) -> Iterator[tuple[int, int, str | None, str, int, str]]:
-    """Body number, place of the establishment, siret, child, place of the child, and the child's JSON text.
+def establishments(bodies: list[str], wanted: Sequence[str] = ("etablissement", *CHILDREN), with_json: bool = True) -> Iterator[tuple[int, int, str | None, str, int, str | None]]:
+    """Body number, place of the establishment, siret, child, place of the child, and the child's JSON text, if asked for.
 
-    The establishment itself comes as the child ``etablissement``.
+    The establishment itself comes as the child ``etablissement``. Only the ``wanted`` children come.
     """
     raw = [b.encode("utf-8", "surrogatepass") for b in bodies]
     buf = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
@@ -127,7 +128,7 @@ def establishments(bodies: list[str]) -> Iterator[tuple[int, int, str | None, st
     for n in np.flatnonzero(ix.parent >= 0):
         if ix.level[n] <= 5:
             below.setdefault(int(ix.parent[n]), []).append(int(n))
-    text = lambda n: buf[ix.pos[ix.open[n]] : ix.pos[ix.close[n]] + 1].tobytes().decode("utf-8", "surrogatepass")
+    text = lambda n: None if not with_json else buf[ix.pos[ix.open[n]] : ix.pos[ix.close[n]] + 1].tobytes().decode("utf-8", "surrogatepass")
 
     def members(n: int) -> dict[str, int]:
         return {k: m for m in below.get(n, []) if (k := key_of(ix, buf, int(ix.open[m]))) is not None}  # of a key given twice, the last
@@ -165,38 +166,53 @@ def establishments(bodies: list[str]) -> Iterator[tuple[int, int, str | None, st
             continue
         for place, etab in objects(holder):
             siret = sirets.get(etab)
-            yield b, place, siret, "etablissement", 0, text(etab)
+            if "etablissement" in wanted:
+                yield b, place, siret, "etablissement", 0, text(etab)
             inner = members(etab)
             for child in CHILDREN:
-                if child in inner:
+                if child in inner and child in wanted:
                     for k, node in objects(inner[child]):
                         yield b, place, siret, child, k, text(node)
 
 
-def linked_rows(pages: DataFrame) -> DataFrame:
+def linked_rows(pages: DataFrame, wanted: Sequence[str] = ("etablissement", *CHILDREN), with_json: bool = True) -> DataFrame:
     """One row per establishment and child object of each page: ``page_id, etab_idx, siret, child, child_idx, json``.
 
     (page_id, etab_idx) ties a child to its establishment, the row whose child is ``etablissement``; null
     elements of an array keep their place but give no row, and so do null, absent and scalar children.
     Null, empty and invalid bodies and error answers give none. Repeated pages are read each time. Extra
-    columns are ignored. No row leaves its partition, so that hot or very long pages need no shuffle.
+    columns are ignored. No row leaves its partition, so that hot or very long pages need no shuffle. Only
+    the ``wanted`` children come, and ``json`` is null unless ``with_json``. A worker holds one block of bodies
+    as text, not the whole batch.
     """
+    wanted = tuple(wanted)
+
+    def batch_of(ids: list, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([ids[r[0]] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], t) for c, t in ((1, pa.int32()), (2, pa.string()), (3, pa.string()), (4, pa.int32()), (5, pa.string())))],
+            names=["page_id", "etab_idx", "siret", "child", "child_idx", "json"],
+        )
+
+    def block_rows(ids: list, bodies: list[str]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for row in establishments(bodies, wanted, with_json):
+            rows.append(row)
+            held += 100 + len(row[5] or "")
+            if held > BLOCK_BYTES:
+                yield batch_of(ids, rows)
+                rows, held = [], 0
+        yield batch_of(ids, rows)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            block, used = [], 0
-            for i, body in [*enumerate(bodies), (None, None)]:
-                if block and (i is None or used + len(body or "") > BLOCK_BYTES):
-                    rows = list(establishments([bodies[k] for k in block]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[block[r[0]]] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], t) for c, t in ((1, pa.int32()), (2, pa.string()), (3, pa.string()), (4, pa.int32()), (5, pa.string())))],
-                        names=["page_id", "etab_idx", "siret", "child", "child_idx", "json"],
-                    )
-                    block, used = [], 0
-                if body:
-                    block.append(i)
-                    used += len(body)
+            batch = batch.filter(pc.greater(pc.fill_null(pc.binary_length(batch.column(1)), 0), 0))
+            ids, sizes = batch.column(0).to_pylist(), pc.binary_length(batch.column(1)).to_pylist()
+            first, used = 0, 0
+            for i, size in [*enumerate(sizes), (len(sizes), BLOCK_BYTES)]:
+                if i > first and used + size > BLOCK_BYTES:
+                    yield from block_rows(ids[first:i], batch.column(1).slice(first, i - first).to_pylist())
+                    first, used = i, 0
+                used += size
 
     return pages.select("page_id", "body").mapInArrow(work, "page_id bigint, etab_idx int, siret string, child string, child_idx int, json string")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlink.operators.asof import erp_attributes
-from ledgerlink.operators.nested import flat_table, linked_rows
+from ledgerlink.operators.nested import CHILDREN, flat_table, linked_rows
 from ledgerlink.operators.rejects import split_uploads
 from ledgerlink.session import table
 
@@ -35,13 +35,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = linked_rows(table(spark, sf_dir, "registry_page"))
-    return rows.where("child <> 'etablissement'").select("page_id", "etab_idx", "siret", "child", "child_idx")
+    rows = linked_rows(table(spark, sf_dir, "registry_page"), CHILDREN, with_json=False)
+    return rows.select("page_id", "etab_idx", "siret", "child", "child_idx")
 
 
 def p4_table(child: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return flat_table(linked_rows(table(spark, sf_dir, "registry_page")), child)
+        return flat_table(linked_rows(table(spark, sf_dir, "registry_page"), [child]), child)
 
     return query
 

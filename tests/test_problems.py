@@ -123,3 +123,30 @@ def test_linked_rows_and_tables(spark):
     assert sorted((r.page_id, r.etab_idx, r.siret, r.child, r.child_idx) for r in rows.collect()) == sorted(2 * [(1, 1, "12345678901234", c, k) for c, k in (("etablissement", 0), ("uniteLegale", 0), ("periodesEtablissement", 1))])
     assert nested.flat_table(rows, "periodesEtablissement").first().dateDebut == "2020-01-01"
     assert nested.linked_rows(df.limit(0)).count() == 0
+
+
+def test_pages_are_read_in_small_blocks():
+    """A worker holds a block of bodies at a time, and gives back what was asked for in pieces of about that size."""
+    import json
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Pages:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, work, _: work
+
+    etab = {"siret": "1" * 14, "uniteLegale": {"siren": "1" * 9}, "periodesEtablissement": [{"dateDebut": "2020-01-01", "activitePrincipaleEtablissement": "x" * 2000}] * 5}
+    one, long = json.dumps({"etablissements": [etab]}), json.dumps({"etablissements": [etab] * 400})
+    bodies = pa.array([one, None, "", *[one] * 2000, long, one])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(bodies)), pa.int64()), bodies], names=["page_id", "body"])
+    tracemalloc.start()
+    sizes, n = [], 0
+    for out in nested.linked_rows(Pages())([batch]):
+        sizes.append(out.nbytes)
+        n += out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2402 * 7 and max(sizes) < 3_000_000 and peak < 40_000_000
+    few = pa.Table.from_batches(list(nested.linked_rows(Pages(), ["uniteLegale"], with_json=False)([batch])))
+    assert few.num_rows == 2402 and set(few["child"].to_pylist()) == {"uniteLegale"} and few["json"].null_count == 2402
