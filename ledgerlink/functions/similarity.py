@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,6 +123,45 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return F.pandas_udf(_jaro_winkler, "double")(a, b)
 
 
+def _per_pair(a: pa.Array, b: pa.Array, rates) -> list[np.ndarray]:
+    """What ``rates`` gives for the distinct pairs of an Arrow batch, laid out for all pairs again; a missing text is ''."""
+    x, y = (pc.fill_null(t, "").dictionary_encode() for t in (a, b))
+    wide = max(1, len(y.dictionary))
+    once, back = np.unique(x.indices.to_numpy().astype(np.int64) * wide + y.indices.to_numpy(), return_inverse=True)
+    left, right = x.dictionary.to_pylist(), y.dictionary.to_pylist()
+    return [v[back] for v in rates([left[k] for k in once // wide], [right[k] for k in once % wide])]
+
+
+def _rates(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Jaro-Winkler, dice and containment of each pair."""
+    sets = {t: frozenset(w for w in t.split(" ") if w) for t in {*a, *b}}
+    common = np.array([len(sets[s] & sets[t]) for s, t in zip(a, b)], dtype=float)
+    x, y = (np.array([len(sets[t]) for t in side], dtype=float) for side in (a, b))
+    some = (x > 0) & (y > 0)
+    return _jaro_winkler(pd.Series(a, dtype=object), pd.Series(b, dtype=object)).to_numpy(), np.where(some, 2.0 * common / np.maximum(1, x + y), 0.0), np.where(some, common / np.maximum(1, x), 0.0)
+
+
+def _candidate_rates(name: pa.Array, names: pa.Array, city: pa.Array, c_city: pa.Array, street: pa.Array, c_street: pa.Array) -> pa.Array:
+    of, flat = pc.list_parent_indices(names).to_numpy(), pc.list_flatten(names)
+    jw, dice_, within = _per_pair(name.take(pa.array(of)), flat, _rates)
+    best = np.full(len(name), -1.0)
+    np.maximum.at(best, of, np.clip(0.45 * jw + 0.45 * dice_ + 0.10 * within, 0.0, 1.0))
+    jw, dice_, _ = _per_pair(city, c_city, _rates)
+    town = np.maximum(jw, dice_)
+    jw, dice_, _ = _per_pair(street, c_street, _rates)
+    way = np.clip(0.5 * jw + 0.5 * dice_, 0.0, 1.0)
+    none = lambda c: pc.equal(pc.fill_null(c, ""), "").to_numpy(zero_copy_only=False)
+    return pa.StructArray.from_arrays([pa.array(best, mask=none(name) | (best < 0)), pa.array(town, mask=none(city) | none(c_city)), pa.array(way, mask=none(street) | none(c_street))], names=["name", "city", "street"])
+
+
+def candidate_rates(name: Column, names: Column, city: Column, c_city: Column, street: Column, c_street: Column) -> Column:
+    """How alike a row and a candidate are: ``name`` (the best of the candidate's), ``city``, ``street``, all in normal form.
+
+    Null where one side has none. In Arrow batches, each distinct pair of texts of a batch once: no shuffle of texts.
+    """
+    return F.arrow_udf(_candidate_rates, "name double, city double, street double")(name, names, city, c_city, street, c_street)
+
+
 def legal_family(c: Column) -> Column:
     """The family of legal forms that a text names, in this order of precedence."""
     from ledgerlink.functions.normalize import alnum

@@ -24,58 +24,77 @@ def weighted_mean(parts: list[tuple[Column, float]]) -> Column:
     return F.when(below > 0, top / below)
 
 
-def score_candidates(pairs: DataFrame) -> DataFrame:
-    """Features, flags, score and decision of each (row_id, candidate_id).
+def row_side(rows: DataFrame) -> DataFrame:
+    """Rows with their texts in normal form, as pairs need them; done once a row, not once a pair."""
+    c = F.col
+    return rows.withColumns({"n_name": N.core_name(c("name")), "n_city": N.city(c("city")), "n_street": N.address(c("street")), "n_dept": N.department(c("postal"), "score"), "n_legal": S.legal_family(c("legal"))})
 
-    ``pairs`` has row_id, candidate_id, the row's siret, siren, name, city, postal, number, street, legal,
-    day ('' or null where absent), ``siren_confidence``, and the candidate's c_siret, c_siren, c_head,
-    c_names (array), c_city, c_postal, c_number, c_street, c_legal, c_status, c_rank (its score by the
-    search engine, may be null). Absent features are left out and the weights made to add up; a
-    contradicting SIRET vetoes. Similarities run once on distinct pairs of normalised texts.
-    """
-    blank = lambda c: F.coalesce(c, F.lit("")) == ""
-    col = F.col
-    p = cut(pairs.withColumns({"n_name": N.core_name(col("name")), "n_names": F.transform("c_names", N.core_name), "n_city": N.city(col("city")), "m_city": N.city(col("c_city")), "n_street": N.address(col("street")), "m_street": N.address(col("c_street"))}))  # three readers
-    texts = p.select(F.explode(F.concat(F.transform("n_names", lambda n: F.struct(col("n_name").alias("a"), n.alias("b"))), F.array(F.struct(col("n_city").alias("a"), col("m_city").alias("b")), F.struct(col("n_street").alias("a"), col("m_street").alias("b"))))).alias("t")).select("t.a", "t.b").where("a <> '' and b <> ''").distinct()
-    jw = cut(texts.withColumn("jw", S.jaro_winkler(col("a"), col("b"))))
 
-    def with_jw(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-        return df.join(jw.select(col("a").alias(a), col("b").alias(b), col("jw").alias(name)), [a, b], "left")
+def candidate_side(candidates: DataFrame) -> DataFrame:
+    """Candidates with their texts in normal form."""
+    c = F.col
+    return candidates.withColumns({"n_names": F.transform("c_names", N.core_name), "m_city": N.city(c("c_city")), "m_street": N.address(c("c_street")), "m_dept": N.department(c("c_postal"), "score"), "m_legal": S.legal_family(c("c_legal"))})
+
 
-    each = p.select("row_id", "candidate_id", "n_name", F.explode("n_names").alias("n_other"))
-    each = with_jw(each, "n_name", "n_other", "jw").withColumn("v", N.clamp01(0.45 * F.coalesce("jw", F.lit(0.0)) + 0.45 * S.dice(col("n_name"), col("n_other")) + 0.10 * S.containment(col("n_name"), col("n_other"))))
-    names = each.where("n_name <> ''").groupBy("row_id", "candidate_id").agg(F.max("v").alias("f_name"))
-    p = with_jw(with_jw(p, "n_city", "m_city", "jw_city"), "n_street", "m_street", "jw_street").join(names, ["row_id", "candidate_id"], "left")
+def candidate_features(pairs: DataFrame, vetoed_too: bool = True) -> DataFrame:
+    """``pairs`` of score_candidates, with features (``f_*``), ``hard_veto``, ``_raw`` and ``score``.
 
+    A vetoed pair scores 0 whatever its texts say; they are left uncompared unless ``vetoed_too``.
+    """
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    col = F.col
+    p = pairs if "n_name" in pairs.columns else row_side(pairs)
+    p = p if "n_names" in p.columns else candidate_side(p)
     same_siret, same_siren = col("siret") == col("c_siret"), col("siren") == col("c_siren")
-    identifier = F.when(~blank(col("siret")), F.when(same_siret, 1.0).otherwise(0.0)).when(~blank(col("siren")), F.when(same_siren, F.when(col("c_head"), 0.98).otherwise(0.96)).otherwise(0.0))
     siret_off = ~blank(col("siret")) & ~F.coalesce(same_siret, F.lit(False))
     siren_off = blank(col("siret")) & ~blank(col("siren")) & ~F.coalesce(same_siren, F.lit(False))
-    veto = siret_off | siren_off & (F.coalesce("siren_confidence", F.lit(0.0)) >= 0.9)
-    dept = lambda c: N.department(col(c), "score")
-    postal = F.when(blank(col("postal")) | blank(col("c_postal")), None).when(col("postal") == col("c_postal"), 1.0).when(dept("postal") == dept("c_postal"), 0.72).otherwise(0.1)
-    town = F.when((col("n_city") == "") | (col("m_city") == ""), None).otherwise(F.greatest(F.coalesce("jw_city", F.lit(0.0)), S.dice(col("n_city"), col("m_city"))))
+    p = p.withColumns({"siret_off": siret_off, "siren_off": siren_off, "hard_veto": siret_off | siren_off & (F.coalesce("siren_confidence", F.lit(0.0)) >= 0.9)})
+    texts = [col(c) for c in ("n_name", "n_names", "n_city", "m_city", "n_street", "m_street")]
+    p = p.withColumn("_rates", S.candidate_rates(*(texts if vetoed_too else [F.when(~col("hard_veto"), c) for c in texts])))
+
+    identifier = F.when(~blank(col("siret")), F.when(same_siret, 1.0).otherwise(0.0)).when(~blank(col("siren")), F.when(same_siren, F.when(col("c_head"), 0.98).otherwise(0.96)).otherwise(0.0))
+    postal = F.when(blank(col("postal")) | blank(col("c_postal")), None).when(col("postal") == col("c_postal"), 1.0).when(col("n_dept") == col("m_dept"), 0.72).otherwise(0.1)
     number = F.when(blank(col("number")) | blank(col("c_number")), None).when(col("number") == col("c_number"), 1.0).otherwise(0.2)
-    way = F.when((col("n_street") == "") | (col("m_street") == ""), None).otherwise(N.clamp01(0.5 * F.coalesce("jw_street", F.lit(0.0)) + 0.5 * S.dice(col("n_street"), col("m_street"))))
     temporal = F.when(col("c_status") == "A", 1.0).when(col("c_status") == "F", F.when(~blank(col("day")), 0.55).otherwise(0.4)).otherwise(0.7)
-    of, other = S.legal_family(col("legal")), S.legal_family(col("c_legal"))
+    of, other = col("n_legal"), col("m_legal")
     firms = ["SAS_FAMILY", "SARL_FAMILY", "SA"]
     legal = F.when(of == "", None).when(other == "", 0.3).when(of == other, 1.0).when(of.isin(firms) & other.isin(firms), 0.7).otherwise(0.3)
-    p = p.withColumns({"f_identifier": identifier, "hard_veto": veto, "f_postal": postal, "f_city": town, "f_number": number, "f_street": way, "f_temporal": temporal, "f_legal_form": legal, "f_lucene": minmax(col("c_rank"), "row_id")})
+    p = p.withColumns({"f_name": col("_rates.name"), "f_city": col("_rates.city"), "f_street": col("_rates.street"), "f_identifier": identifier, "f_postal": postal, "f_number": number, "f_temporal": temporal, "f_legal_form": legal})
+    ranks = pairs.where("c_rank is not null").groupBy("row_id").agg(F.min("c_rank").alias("_low"), F.max("c_rank").alias("_high"))
+    p = p.join(ranks, "row_id", "left").withColumn("f_lucene", F.when(col("c_rank").isNull(), None).when(col("_high") == col("_low"), 1.0).otherwise((col("c_rank") - col("_low")) / (col("_high") - col("_low"))))
     p = p.withColumns({"f_geo": weighted_mean([(col("f_postal"), 0.55), (col("f_city"), 0.45)]), "f_address": weighted_mean([(col("f_number"), 0.35), (col("f_street"), 0.65)])})
+    minus = lambda test, v: F.when(test, v).otherwise(0.0)
+    penalty = minus((col("f_postal") == 0.1) & (col("f_city") < 0.45), 0.10) + minus(col("f_number") == 0.2, 0.04) + minus(col("f_name") < 0.35, 0.15)
+    raw = F.when(col("hard_veto"), 0.0).otherwise(N.clamp01(F.coalesce(weighted_mean([(col(f"f_{k}"), w) for k, w in WEIGHTS.items()]), F.lit(0.0)) - penalty))
+    return p.withColumn("_raw", raw).withColumn("score", F.round("_raw", 4))
+
+
+def candidate_reasons(p: DataFrame) -> DataFrame:
+    """``candidate_features`` with ``flags``, ``reasons`` and ``decision``."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    col = F.col
     flag = lambda test, name: F.when(test, F.lit(name))
     flags = F.array_compact(F.array(
-        flag(siret_off, "SIRET_CONTRADICTION"), flag(siren_off, "SIREN_CONTRADICTION"), flag(col("f_name") < 0.35, "NAME_STRONG_MISMATCH"), flag(col("f_postal") == 0.1, "CP_CONTRADICTION"), flag(col("f_city") < 0.45, "CITY_STRONG_MISMATCH"),
+        flag(col("siret_off"), "SIRET_CONTRADICTION"), flag(col("siren_off"), "SIREN_CONTRADICTION"), flag(col("f_name") < 0.35, "NAME_STRONG_MISMATCH"), flag(col("f_postal") == 0.1, "CP_CONTRADICTION"), flag(col("f_city") < 0.45, "CITY_STRONG_MISMATCH"),
         flag(col("f_number") == 0.2, "STREET_NUMBER_CONTRADICTION"), flag(col("f_street") < 0.35, "STREET_STRONG_MISMATCH"), flag((col("c_status") == "F") & ~blank(col("day")), "ESTABLISHMENT_CLOSED_AT_REFERENCE_DATE_OR_NEAR"), flag((col("c_status") == "F") & blank(col("day")), "ESTABLISHMENT_CLOSED_CURRENTLY"),
-        flag((of != "") & (other != "") & (col("f_legal_form") == 0.3), "LEGAL_FORM_WEAK_MISMATCH")))
-    p = p.withColumn("flags", flags)
-    has = lambda f: F.array_contains("flags", f)
-    penalty = F.when(has("CP_CONTRADICTION") & has("CITY_STRONG_MISMATCH"), 0.10).otherwise(0.0) + F.when(has("STREET_NUMBER_CONTRADICTION"), 0.04).otherwise(0.0) + F.when(has("NAME_STRONG_MISMATCH"), 0.15).otherwise(0.0)
-    raw = F.when(col("hard_veto"), 0.0).otherwise(N.clamp01(F.coalesce(weighted_mean([(col(f"f_{k}"), w) for k, w in WEIGHTS.items()]), F.lit(0.0)) - penalty))
-    reasons = F.array_distinct(F.concat(F.array_compact(F.array(flag(same_siret & ~blank(col("siret")), "EXACT_SIRET"), flag(same_siren & ~blank(col("siren")), "EXACT_SIREN"), flag(col("f_name") >= 0.9, "NAME_STRONG_MATCH"), flag(col("f_postal") == 1.0, "POSTAL_EXACT"), flag(col("f_city") >= 0.9, "CITY_STRONG_MATCH"))), col("flags")))
-    p = p.withColumns({"_raw": raw, "reasons": reasons})
+        flag((col("n_legal") != "") & (col("m_legal") != "") & (col("f_legal_form") == 0.3), "LEGAL_FORM_WEAK_MISMATCH")))
+    good = F.array_compact(F.array(flag((col("siret") == col("c_siret")) & ~blank(col("siret")), "EXACT_SIRET"), flag((col("siren") == col("c_siren")) & ~blank(col("siren")), "EXACT_SIREN"), flag(col("f_name") >= 0.9, "NAME_STRONG_MATCH"), flag(col("f_postal") == 1.0, "POSTAL_EXACT"), flag(col("f_city") >= 0.9, "CITY_STRONG_MATCH")))
     decision = F.when(col("hard_veto"), "REJECT").when(col("_raw") >= 0.88, "BEST").when(col("_raw") >= 0.72, "PLAUSIBLE").otherwise("REJECT")
-    return p.select("row_id", "candidate_id", *[f"f_{k}" for k in WEIGHTS], "f_postal", "f_city", "hard_veto", "flags", "reasons", F.round("_raw", 4).alias("score"), decision.alias("decision"))
+    return p.withColumn("flags", flags).withColumns({"reasons": F.concat(good, "flags"), "decision": decision})
+
+
+def score_candidates(pairs: DataFrame) -> DataFrame:
+    """Features, flags, score and decision of each (row_id, candidate_id).
+
+    ``pairs`` has row_id, candidate_id, the row's siret, siren, name, city, postal, number, street, legal,
+    day ('' or null where absent), ``siren_confidence``, and the candidate's c_siret, c_siren, c_head,
+    c_names (array), c_city, c_postal, c_number, c_street, c_legal, c_status, c_rank (its score by the
+    search engine, may be null). Absent features are left out and the weights made to add up; a
+    contradicting SIRET vetoes. Where ``row_side`` and ``candidate_side`` went before the join that made the
+    pairs, nothing is normalised again. Pairs stay where they are.
+    """
+    p = candidate_reasons(candidate_features(pairs))
+    return p.select("row_id", "candidate_id", *[f"f_{k}" for k in WEIGHTS], "f_postal", "f_city", "hard_veto", "flags", "reasons", "score", "decision")
 
 
 def minmax(value: Column, key: str) -> Column:
@@ -92,6 +111,13 @@ def ranked(scores: DataFrame, order: str = "candidate_id") -> DataFrame:
     return scores.withColumns({"rank": F.row_number().over(w), "margin": ahead})
 
 
+def first(scores: DataFrame, n: int, order: str = "candidate_id") -> DataFrame:
+    """``ranked``, the first ``n`` (two at least) of each row only: what is behind them is left out before it is moved."""
+    w = Window.partitionBy("row_id").orderBy(F.col("score").desc(), order)
+    kept = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(2, n))
+    return kept.withColumn("margin", F.when(F.lead("score").over(w).isNull(), 0.0).otherwise(F.round(F.col("score") - F.lead("score").over(w), 4))).where(F.col("rank") <= n)
+
+
 def gate(tops: DataFrame) -> DataFrame:
     """The nine rules, first that applies, on each row's best candidate.
 

@@ -11,7 +11,7 @@ from ledgerlink.operators import registry as R
 from ledgerlink.plans.lookups import latest
 from ledgerlink.plans.registry import query
 from ledgerlink.plans.scalars import alnum
-from ledgerlink.session import table
+from ledgerlink.session import cut, table
 
 C = F.col
 SCORES = "s as (select l_orderkey as row_id, l_suppkey as candidate_id, min((l_partkey * 37 + l_linenumber * 13) % 1000) / 1000 as score, bool_and(l_returnflag = 'R') as hard_veto from lineitem group by all)"
@@ -136,22 +136,52 @@ def _aliases(spark, sf_dir):
     return D.aliases(named_pairs(spark, sf_dir).where("b <> '' and a <> '' and a <> b").select("row_id", C("a").alias("from_name"), C("b").alias("to_name")))
 
 
-def pairs(spark, sf_dir):
-    """ERP rows with candidates of the registry: the same SIREN, or the same postal code and beginning of the name."""
-    e = table(spark, sf_dir, "erp_row").groupBy("row_id").agg(F.max(F.struct("Original_SIRET", "Original_SIREN", "Original_Name", "Original_City", "Original_CP", "Original_Address", "Transaction_Date")).alias("x")).select("row_id", "x.*")
+#: Pairs of one postal code and beginning of the name that one task makes.
+BLOCK_PAIRS = 100_000
+
+
+def sides(spark, sf_dir):
+    """ERP rows and the registry, once a row and a SIRET, in normal form and with the keys by which they meet."""
+    e = table(spark, sf_dir, "erp_row").where("row_id is not null").groupBy("row_id").agg(F.max(F.struct("Original_SIRET", "Original_SIREN", "Original_Name", "Original_City", "Original_CP", "Original_Address", "Transaction_Date")).alias("x")).select("row_id", "x.*")
     num = F.regexp_extract(N.text(C("Original_Address")), r"^\s*(\d+)", 1)
-    e = e.select("row_id", N.fixed_digits(C("Original_SIRET"), 14).alias("siret"), N.fixed_digits(C("Original_SIREN"), 9).alias("siren"), N.text(C("Original_Name")).alias("name"), N.text(C("Original_City")).alias("city"), N.fixed_digits(C("Original_CP"), 5).alias("postal"), num.alias("number"), F.regexp_replace(N.text(C("Original_Address")), r"^\s*\d+\s*", "").alias("street"), N.text(C("Original_Name")).alias("legal"), N.iso_date(C("Transaction_Date")).alias("day"), F.lit(1.0).alias("siren_confidence"))
+    e = e.select("row_id", N.fixed_digits(C("Original_SIRET"), 14).alias("siret"), N.fixed_digits(C("Original_SIREN"), 9).alias("siren"), N.text(C("Original_Name")).alias("name"), N.text(C("Original_City")).alias("city"), N.fixed_digits(C("Original_CP"), 5).alias("postal"), num.alias("number"), F.regexp_replace(N.text(C("Original_Address")), r"^\s*\d+\s*", "").alias("street"), N.text(C("Original_Name")).alias("legal"), N.iso_date(C("Transaction_Date")).alias("day"))
     u, a = C("uniteLegale"), C("adresseEtablissement")
-    r = latest(spark, sf_dir).select(C("siret").alias("c_siret"), C("siren").alias("c_siren"), F.coalesce("etablissementSiege", F.lit(False)).alias("c_head"), F.filter(F.array(u["denominationUniteLegale"], u["denominationUsuelle1UniteLegale"]), lambda x: x.isNotNull()).alias("c_names"), N.text(a["libelleCommuneEtablissement"]).alias("c_city"), N.text(a["codePostalEtablissement"]).alias("c_postal"), N.text(a["numeroVoieEtablissement"]).alias("c_number"), F.concat_ws(" ", a["typeVoieEtablissement"], a["libelleVoieEtablissement"]).alias("c_street"), N.text(u["denominationUniteLegale"]).alias("c_legal"), C("etatAdministratifEtablissement").alias("c_status"), F.lit(None).cast("double").alias("c_rank"))
-    head = lambda c: F.substring(N.core_name(c), 1, 6)
-    by_siren = e.where("siren <> ''").select("row_id", "siren").join(r.select("c_siret", C("c_siren").alias("siren")), "siren").select("row_id", "c_siret")
-    by_name = e.where("postal <> '' and name <> ''").select("row_id", "postal", head(C("name")).alias("h")).join(r.select("c_siret", C("c_postal").alias("postal"), head(F.try_element_at("c_names", F.lit(1))).alias("h")), ["postal", "h"]).select("row_id", "c_siret")
-    both = by_siren.unionByName(by_name).distinct()
-    return both.join(e, "row_id").join(r, "c_siret").withColumn("candidate_id", C("c_siret"))
+    r = latest(spark, sf_dir).select(C("siret").alias("c_siret"), C("siren").alias("c_siren"), F.coalesce("etablissementSiege", F.lit(False)).alias("c_head"), F.filter(F.array(u["denominationUniteLegale"], u["denominationUsuelle1UniteLegale"]), lambda x: x.isNotNull()).alias("c_names"), N.text(a["libelleCommuneEtablissement"]).alias("c_city"), N.text(a["codePostalEtablissement"]).alias("c_postal"), N.text(a["numeroVoieEtablissement"]).alias("c_number"), F.concat_ws(" ", a["typeVoieEtablissement"], a["libelleVoieEtablissement"]).alias("c_street"), N.text(u["denominationUniteLegale"]).alias("c_legal"), C("etatAdministratifEtablissement").alias("c_status"))
+    e = D.row_side(e).withColumn("h", F.when((C("postal") != "") & (C("name") != ""), F.substring("n_name", 1, 6)))
+    r = D.candidate_side(r).withColumn("h", F.coalesce(F.substring(F.try_element_at("n_names", F.lit(1)), 1, 6), F.lit("")))
+    return cut(e), cut(r)
+
+
+def met(e, r):
+    """The rows of ``e`` with the candidates of ``r``: the same SIREN, or else the same postal code and beginning of the name.
+
+    Each pair comes once, made by one of two joins that bring all columns along. A block of many pairs is cut among tasks.
+    """
+    by_siren = e.where("siren <> ''").drop("h").join(r.drop("h"), C("siren") == C("c_siren"))
+    left, right = e.where("h is not null"), r.withColumn("postal", C("c_postal"))
+    sizes = left.groupBy("postal", "h").agg(F.count("*").alias("n")).join(right.groupBy("postal", "h").agg(F.count("*").alias("m")), ["postal", "h"])
+    large = sizes.where(C("n") * C("m") > BLOCK_PAIRS).select("postal", "h", F.least(C("n"), F.ceil(C("n") * C("m") / BLOCK_PAIRS)).cast("int").alias("k"))
+    left = left.join(large, ["postal", "h"], "left").withColumn("z", F.pmod(F.xxhash64("row_id"), F.coalesce("k", F.lit(1))).cast("int")).drop("k")
+    right = right.join(large, ["postal", "h"], "left").withColumn("z", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+    by_name = left.join(right, ["postal", "h", "z"]).drop("h", "z").where(~F.coalesce((C("siren") != "") & (C("siren") == C("c_siren")), F.lit(False)))
+    return by_siren.unionByName(by_name).withColumn("candidate_id", C("c_siret")).withColumns({"siren_confidence": F.lit(1.0), "c_rank": F.lit(None).cast("double")})
+
+
+def scores_of_all(e, r, *more):
+    """Row, candidate and score of all pairs; texts of vetoed pairs, which score 0, aren't compared."""
+    return D.candidate_features(met(e, r), vetoed_too=False).select("row_id", "candidate_id", "score", *more)
+
+
+def _best(spark, sf_dir):
+    """The best of each row by scores alone; only that one is looked at in full."""
+    e, r = sides(spark, sf_dir)
+    best = D.first(scores_of_all(e, r), 1).select("row_id", C("candidate_id").alias("c_siret"), "margin")
+    again = best.join(e, "row_id").join(r.drop("h"), "c_siret").withColumns({"candidate_id": C("c_siret"), "siren_confidence": F.lit(1.0), "c_rank": F.lit(None).cast("double")})
+    return D.candidate_reasons(D.candidate_features(again)).select("row_id", "candidate_id", "score", "margin", "decision", F.concat_ws("|", "reasons").alias("reasons"))
 
 
-query("candidate_score")(lambda s, d: D.score_candidates(pairs(s, d)))
-query("candidate_best")(lambda s, d: D.ranked(D.score_candidates(pairs(s, d))).where("rank = 1").select("row_id", "candidate_id", "score", "margin", "decision", F.concat_ws("|", "reasons").alias("reasons")))
+query("candidate_score")(lambda s, d: D.score_candidates(met(*sides(s, d))))
+query("candidate_best")(lambda s, d: _best(s, d))
 
 
 @query("resolution_confidence")

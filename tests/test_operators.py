@@ -111,3 +111,23 @@ def test_query_equals_sql(spark, name):
     assert sorted(df.columns) == sorted(names)
     tidy = lambda row: tuple(float(f"{v:.9g}") if isinstance(v, float) else str(v) for v in row)
     assert sorted(map(tidy, df.select(*names).collect()), key=str) == sorted(map(tidy, r.fetchall()), key=str)
+
+
+def test_candidates_meet_once_and_are_scored_in_place(spark, monkeypatch):
+    """Large blocks are cut among tasks without loss; scoring moves no pair; the first of a row are those of the whole ranking."""
+    from ledgerlink.operators import decisions as D
+    from ledgerlink.plans import decisions as P
+
+    e, r = P.sides(spark, SF)
+    whole = sorted(x for x in P.met(e, r).select("row_id", "candidate_id").collect())
+    a, b = e.select("row_id", "siren", "postal", "h").collect(), r.select("c_siret", "c_siren", "c_postal", "h").collect()
+    assert whole == sorted((x.row_id, y.c_siret) for x in a for y in b if x.siren and x.siren == y.c_siren or x.h is not None and (x.postal, x.h) == (y.c_postal, y.h))
+    monkeypatch.setattr(P, "BLOCK_PAIRS", 2)
+    pairs = P.met(e, r)
+    assert sorted(x for x in pairs.select("row_id", "candidate_id").collect()) == whole
+    again = spark.read.schema(pairs.drop("c_rank").schema).json(spark.sparkContext.parallelize([])).withColumn("c_rank", F.lit(None).cast("double"))
+    assert "Exchange" not in D.score_candidates(again)._jdf.queryExecution().executedPlan().toString()
+    scored = P.scores_of_all(e, r)
+    assert sorted(D.first(scored, 1).collect()) == sorted(D.ranked(scored).where("rank = 1").collect())
+    full = D.score_candidates(pairs).select("row_id", "candidate_id", "score")
+    assert sorted(scored.collect()) == sorted(full.collect())
