@@ -27,22 +27,25 @@ def with_keys(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"key": cluster_key(c("name"), c("postal"), c("city")), "n_name": N.alnum(c("name")), "n_city": N.city(c("city")), "n_postal": N.fixed_digits(c("postal"), 5), "dept": N.department(c("postal"), "score"), "n_address": N.address(c("address"))})
 
 
-def contexts(rows: DataFrame, candidates: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+def contexts(rows: DataFrame, candidates: DataFrame, resolved: DataFrame, same: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``row_id, component``, and by component the dominant name, city, department and SIREN and how strongly that locks.
 
     Rows hang together by equal keys and by common SIRENs of their candidates. A resolved row belongs to a
     component with whose rows it shares the key or with whose candidates the SIREN. The most frequent value
     of the resolved rows dominates, of the component's own rows where none is resolved; of equals the one of
-    the least row_id. The lock is the share of the dominant SIREN among the resolved rows.
+    the least row_id. The lock is the share of the dominant SIREN among the resolved rows. Where ``same``
+    (row_id, like) says which row has the same candidates, ``candidates`` need hold those of that row only.
     """
-    sirens = candidates.where("siren <> ''").select("row_id", "siren").distinct()
+    sirens = cut(candidates.where("siren <> ''").select("row_id", "siren").distinct())
     alone = rows.select(F.col("row_id").alias("a"), F.col("row_id").alias("b"))
     edges = chain_edges(rows.select("row_id", "key"), "row_id", "key").unionByName(chain_edges(sirens, "row_id", "siren")).unionByName(alone)
+    if same is not None:
+        edges = edges.unionByName(same.select(F.col("row_id").alias("a"), F.col("like").alias("b")))
     member = cut(components(edges).withColumnRenamed("id", "row_id"))
     keys = rows.select("row_id", "key").join(member, "row_id").select("component", "key").distinct()
     known = sirens.join(member, "row_id").select("component", "siren").distinct()
     shared = resolved.join(keys, "key").select("component", "row_id").unionByName(resolved.join(known, "siren").select("component", "row_id")).distinct()
-    linked = cut(shared.join(resolved, "row_id"))
+    linked = cut(shared.join(resolved.select("row_id", "n_name", "n_city", "dept", "siren"), "row_id"))
     own = rows.join(member, "row_id")
     out = member.select("component").distinct()
     for value, name in (("n_name", "top_name"), ("n_city", "top_city"), ("dept", "top_dept")):
@@ -61,13 +64,15 @@ def geo_prior(postal: Column, dept: Column, city: Column, c_postal: Column, c_de
     return N.clamp01(near + town + F.when((top_dept != "") & (top_dept == c_dept), 0.1).otherwise(0.0))
 
 
-def reranked(rows: DataFrame, candidates: DataFrame, resolved: DataFrame, memory: DataFrame | None = None) -> DataFrame:
+def reranked(rows: DataFrame, candidates: DataFrame, resolved: DataFrame, memory: DataFrame | None = None, sirens: DataFrame | None = None, same: DataFrame | None = None) -> DataFrame:
     """Each viable candidate of each ambiguous row with priors, scores, place and the row's decision.
 
     ``rows``: row_id, name, city, postal, address, has_date. ``candidates``: row_id, pos, candidate_id,
     siren, score, hard_veto, c_name, c_city, c_postal, c_address, active, head. ``resolved``: row_id, name,
     city, postal, address, candidate_id, siren. ``memory``: candidate_id, confidence. Nulls count as ''
-    or false, repeated row_ids are one row. Rows without a viable candidate are left out.
+    or false, repeated row_ids are one row. Rows without a viable candidate are left out. Where ``candidates``
+    holds only the first five of a row, ``sirens`` (row_id, siren) has those of all; with ``same`` (row_id, like),
+    of the rows that stand for others with the same candidates.
 
     The first five of a row in the given order, less vetoed ones, are looked at. Where the best two are
     within a tenth, the priors add to the score; a SIREN that dominates strongly takes from all others, or
@@ -79,7 +84,7 @@ def reranked(rows: DataFrame, candidates: DataFrame, resolved: DataFrame, memory
     rows = cut(with_keys(text(rows.dropDuplicates(["row_id"]), "name", "city", "postal", "address")))
     resolved = cut(with_keys(text(resolved.dropDuplicates(["row_id"]), "name", "city", "postal", "address", "candidate_id", "siren")))
     pool = text(candidates, "candidate_id", "siren", "c_name", "c_city", "c_postal", "c_address").withColumn("score", N.clamp01(F.coalesce("score", lit(0.0))))
-    member, around = contexts(rows, pool, resolved)
+    member, around = contexts(rows, pool if sirens is None else text(sirens, "siren"), resolved, same)
     by_row = Window.partitionBy("row_id")
     pool = pool.withColumn("_n", F.row_number().over(by_row.orderBy("pos"))).where((c("_n") <= POOL) & ~F.coalesce("hard_veto", lit(False)))
     local = by_row.orderBy(c("score").desc(), "pos")

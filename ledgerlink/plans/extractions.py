@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlink.functions import normalize as N
@@ -50,16 +51,21 @@ def eod_decisions(spark, sf_dir):
 
     No SQL: components need iteration. Held against a plain program in the tests.
     """
-    from ledgerlink.plans.decisions import pairs
+    from ledgerlink.plans.decisions import met, scores_of_all, sides
 
-    p = cut(pairs(spark, sf_dir))
-    scored = cut(D.ranked(D.score_candidates(p)))
-    best = scored.where("rank = 1").select("row_id", C("score").alias("best"), C("margin").alias("ahead"), "hard_veto")
-    clear = best.where("best >= 0.88 and ahead >= 0.08 and not hard_veto").select("row_id")
+    e, r = sides(spark, sf_dir)
+    top = cut(D.first(scores_of_all(e, r, "hard_veto"), E.POOL))
+    best = top.where("rank = 1").select("row_id", "candidate_id", C("score").alias("best"), C("margin").alias("ahead"), "hard_veto")
+    clear = best.where("best >= 0.88 and ahead >= 0.08 and not hard_veto").select("row_id", "candidate_id")
     close = best.where("best >= 0.42 and ahead < 0.08").select("row_id")
-    rows = p.groupBy("row_id").agg(F.min(F.struct("name", "city", "postal", F.concat_ws(" ", "number", "street").alias("address"), "day")).alias("r")).select("row_id", "r.*")
-    side = p.select("row_id", "candidate_id", C("c_siren").alias("siren"), F.get("c_names", 0).alias("c_name"), "c_city", "c_postal", F.concat_ws(" ", "c_number", "c_street").alias("c_address"), (C("c_status") == "A").alias("active"), C("c_head").alias("head"))
-    pool = scored.join(close, "row_id").select("row_id", "candidate_id", C("rank").alias("pos"), "score", "hard_veto").join(side, ["row_id", "candidate_id"])
-    resolved = rows.join(clear, "row_id").join(scored.where("rank = 1").select("row_id", "candidate_id"), "row_id").join(side.select("row_id", "candidate_id", "siren"), ["row_id", "candidate_id"])
-    out = E.reranked(rows.join(close, "row_id").withColumn("has_date", C("day") != ""), pool, resolved)
+    rows = e.select("row_id", "name", "city", "postal", F.concat_ws(" ", "number", "street").alias("address"), (C("day") != "").alias("has_date"))
+    side = r.select(C("c_siret").alias("candidate_id"), C("c_siren").alias("siren"), F.get("c_names", 0).alias("c_name"), "c_city", "c_postal", F.concat_ws(" ", "c_number", "c_street").alias("c_address"), (C("c_status") == "A").alias("active"), C("c_head").alias("head"))
+    pool = top.join(close, "row_id").select("row_id", "candidate_id", C("rank").alias("pos"), "score", "hard_veto").join(side, "candidate_id")
+    resolved = rows.join(clear, "row_id").join(side.select("candidate_id", "siren"), "candidate_id")
+    # rows that meet the registry by the same keys have the same candidates: one of them stands for all
+    keyed = e.join(close, "row_id").select("row_id", "siren", F.when(C("h").isNotNull(), C("postal")).alias("postal"), "h")
+    alike = keyed.groupBy("siren", "postal", "h").agg(F.min("row_id").alias("row_id"))
+    same = keyed.withColumn("like", F.min("row_id").over(Window.partitionBy("siren", "postal", "h"))).select("row_id", "like")
+    sirens = met(alike, r.select("c_siret", "c_siren", "c_postal", "h")).select("row_id", C("c_siren").alias("siren"))
+    out = E.reranked(rows.join(close, "row_id"), pool, resolved, sirens=sirens, same=same)
     return out.where("chosen").select("row_id", "candidate_id", "eod_score", "margin", "decision", "reason")

@@ -89,3 +89,14 @@ def test_the_better_of_two_attempts(spark):
     s = "row_id string, invalid_field_count int, v string"
     a, b = spark.createDataFrame([("1", 2, "a"), ("2", 1, "a"), ("3", 0, "a")], s), spark.createDataFrame([("1", 1, "b"), ("2", 1, "b"), ("4", 5, "b")], s)
     assert {r.row_id: r.v for r in extraction.better_attempt(a, b).collect()} == {"1": "b", "2": "a", "3": "a", "4": "b"}
+
+
+def test_rows_that_stand_for_others(spark):
+    """SIRENs of one row stand for those of all rows with the same candidates; the components are those of all rows."""
+    rows = spark.createDataFrame([(r, n, "", "", "", True) for r, n in (("a", "A"), ("b", "B"), ("c", "C"), ("d", "D"))], ROWS)
+    every = spark.createDataFrame([("a", "s1"), ("b", "s1"), ("a", "s2"), ("b", "s2"), ("c", "s2"), ("d", "s3")], "row_id string, siren string")
+    few, same = every.where("row_id <> 'b'"), spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")], "row_id string, like string")
+    known = endofday.with_keys(spark.createDataFrame([("k", "K", "LYON", "69001", "", "1", "s1")], KNOWN))
+    whole, part = endofday.contexts(endofday.with_keys(rows), every, known), endofday.contexts(endofday.with_keys(rows), few, known, same)
+    assert sorted(whole[0].collect()) == sorted(part[0].collect()) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d")]
+    assert sorted(whole[1].collect()) == sorted(part[1].collect())
