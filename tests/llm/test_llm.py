@@ -139,6 +139,20 @@ def test_similarity_join_equals_brute_force(spark):
         assert {(r.a, r.b) for r in names.similar_spellings(classes, 0.2, 0.45, piece).collect()} == want
 
 
+def test_cheap_tests_of_spellings_come_first_and_drop_no_partner(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("AABCDEIKNRTX"), rng.integers(4, 14))) for _ in range(60)]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", names.letter_bits("w")).collect()
+    for (x, p), (y, q) in itertools.combinations(rows, 2):
+        assert max((p & ~q).bit_count(), (q & ~p).bit_count()) <= names.edits(x, y, 99)
+    plans, cut = [], names.cut
+    monkeypatch.setattr(names, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    classes = spark.createDataFrame([(i, "GARAGE" if i % 3 else "", [w]) for i, w in enumerate(words)], "id bigint, label string, proper array<string>").withColumn("siren", F.lit(None).cast("string"))
+    names.similar_spellings(classes).count()
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line and "levenshtein" in line]
+    assert joins and all("much" in line and -1 < line.find("bit_count") < line.find("levenshtein") for line in joins)
+
+
 def brute_linkage(weights, edges, least):
     groups = {i: [i] for i in weights}
     sim = {frozenset(e[:2]): e[2] for e in edges}
