@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -31,6 +32,8 @@ LEVELS = {
 }
 #: Share of a name's letters that may be edited in one that is still alike.
 ALIKE = 0.32
+#: A distance beyond all that are measured.
+FAR = 10**9
 #: Least confidence of a match.
 CONFIDENCE = 0.5
 NAME = "struct<label:string,glued:string,turned:string>"
@@ -56,9 +59,19 @@ def street_name(text: str) -> str:
     return "".join(w for w in re.findall(r"[A-Z]+", folded(text)) if w not in STREET_TYPES and w not in STREET_WORDS and len(w) > 1)
 
 
+@lru_cache(maxsize=100_000)
+def city_stem(place: str) -> str:
+    """The first letters of a city_name behind its article."""
+    return re.sub(r"^(SAINTE?|LES|LE|LA)", "", place)[:4]
+
+
+def digits_of(text: str | None) -> str:
+    return text if text and text.isascii() and text.isdigit() else re.sub(r"\D", "", text or "")
+
+
 def street_parts(text: str | None, number: str | None = None) -> tuple[str, str]:
     """House number and street name, the number from the text if it isn't given."""
-    digits = re.sub(r"\D", "", number or "") or ((m := re.search(r"\d+", text or "")) and m[0]) or ""
+    digits = digits_of(number) or ((m := re.search(r"\d+", text or "")) and m[0]) or ""
     return digits.lstrip("0"), street_name(text or "")
 
 
@@ -75,13 +88,13 @@ def record(vocabulary: Vocabulary, names: list[str | None], postal: str | None,
 
     A street with a number meets the same number, or none; one without a number meets all of that street.
     """
-    digits = re.sub(r"\D", "", postal or "")
+    digits = digits_of(postal)
     digits = cedex.get(digits, digits)
     place = city_name(city)
     no, way = street_parts(street, number)
     code = digits if len(digits) == 5 else ""
     department = digits[:2] if len(digits) in (2, 4, 5) else ""
-    stem = re.sub(r"^(SAINTE?|LES|LE|LA)", "", place)[:4]
+    stem = city_stem(place)
     wide = [x for x in (f"d{department}" if department else "", f"t{stem}" if len(stem) == 4 else "") if x]
     narrow = [x for x in (f"p{code}" if code else "", f"c{place}" if place else "") if x]
     parsed = [x for n in names if (x := vocabulary.parsed(name_words(n)))]
@@ -105,7 +118,11 @@ def records(df: DataFrame, vocabulary: Vocabulary, cedex: dict[str, str], held:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [record(vocabulary, *row, cedex, held) for row in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+            gc.disable()  # nothing here makes cycles, and searches for them go through all that the worker remembers
+            try:
+                got = [record(vocabulary, *row, cedex, held) for row in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+            finally:
+                gc.enable()
             every = list(chain.from_iterable(g[0] for g in got))
             names = pa.StructArray.from_arrays([pa.array([n[k] for n in every], pa.string()) for k in range(3)], names=["label", "glued", "turned"])
             keys = pa.array(np.fromiter(chain.from_iterable(g[6] for g in got), dtype=np.uint64).view(np.int64))
@@ -133,8 +150,8 @@ def registry_units(etab: DataFrame) -> DataFrame:
     signs = ["enseigne1Etablissement", "enseigne2Etablissement", "enseigne3Etablissement", "denominationUsuelleEtablissement"]
     person = F.when(u["nomUniteLegale"].isNotNull(), F.concat_ws(" ", u["prenom1UniteLegale"], u["nomUniteLegale"]))
     names = [u["denominationUniteLegale"], *[u[f"denominationUsuelle{k}UniteLegale"] for k in (1, 2, 3)], person, *[F.col(s) for s in signs]]
-    old = F.flatten(F.transform(F.coalesce("periodesEtablissement", F.array().cast(dict(etab.dtypes)["periodesEtablissement"])), lambda p: F.array(*[p[s] for s in signs])))
-    every = F.array_distinct(F.filter(F.concat(F.array(*names), old), lambda n: F.trim(n) != ""))
+    old = [F.coalesce(F.col("periodesEtablissement")[x], F.array().cast("array<string>")) for x in signs]
+    every = F.filter(F.array_distinct(F.concat(F.array(*names), *old)), lambda n: F.trim(n) != "")
     place = ["siret", "postal", "city", "number", "street"]
     each = etab.where("siret is not null").select("siret", a["codePostalEtablissement"].alias("postal"), a["libelleCommuneEtablissement"].alias("city"), a["numeroVoieEtablissement"].alias("number"), a["libelleVoieEtablissement"].alias("street"), every.alias("names"), F.coalesce("etablissementSiege", F.lit(False)).alias("head"))
     each = each.select(*place, "head", F.explode_outer("names").alias("name")).groupBy(*place, "name").agg(F.max("head").alias("head"))
@@ -149,11 +166,13 @@ def levels(x: str, y: str) -> list[Column]:
 
     m = F.get(a("names"), 0)
     size = lambda n: F.greatest(F.length(m["glued"]), F.length(n["glued"]))
-    turned = lambda p, q: F.when(p["turned"] == "", 99).otherwise(F.levenshtein(p["turned"], q["glued"]))
+    off = lambda p, q, most: F.pmod(F.call_function("levenshtein", p, q, most), F.lit(FAR))  # noqa: E731  a distance beyond the most is -1
+    turned = lambda p, q, most: F.when(p["turned"] == "", FAR).otherwise(off(p["turned"], q["glued"], most))
 
     def measured(n: Column) -> Column:
-        far = F.abs(F.length(m["glued"]) - F.length(n["glued"])) > F.greatest(F.lit(3), ALIKE * size(n))
-        distance = F.when(far, 99).otherwise(F.least(F.levenshtein(m["glued"], n["glued"]), turned(m, n), turned(n, m)))
+        most = F.floor(F.greatest(F.lit(3), ALIKE * size(n))).cast("int")
+        far = F.abs(F.length(m["glued"]) - F.length(n["glued"])) > most
+        distance = F.when(far, FAR).otherwise(F.least(off(m["glued"], n["glued"], most), turned(m, n, most), turned(n, m, most)))
         label = F.when((m["label"] == "") | (n["label"] == ""), 1).when(F.startswith(m["label"], n["label"]) | F.startswith(n["label"], m["label"]), 0).otherwise(2)
         return F.struct(distance.alias("off"), label.alias("label"), size(n).alias("size"))
 
@@ -162,7 +181,7 @@ def levels(x: str, y: str) -> list[Column]:
         name = F.when(d["off"] == 0, 0).when(d["off"] <= near, 1).when(d["off"] <= ALIKE * d["size"], 2).otherwise(4)
         return F.struct(name.alias("name"), d["label"].alias("label"), d["off"].alias("off"))
 
-    nothing = F.struct(F.lit(3).alias("name"), F.lit(1).alias("label"), F.lit(99).alias("off"))
+    nothing = F.struct(F.lit(3).alias("name"), F.lit(1).alias("label"), F.lit(FAR).alias("off"))
     nearest = F.when((F.size(a("names")) == 0) | (F.size(b("names")) == 0), nothing).otherwise(F.array_min(F.transform(F.transform(b("names"), measured), graded)))
     postal = F.when((a("department") == "") | (b("department") == ""), 1).when((a("postal") != "") & (a("postal") == b("postal")), 0).when(none("postal") & (a("department") == b("department")), 2).when((a("department") == b("department")) & (F.levenshtein(a("postal"), b("postal")) <= 1), 2).otherwise(3)
     short = F.least(F.length(a("city")), F.length(b("city")))

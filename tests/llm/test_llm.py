@@ -190,6 +190,30 @@ def test_near_words_share_a_key():
         assert set(linkage.name_keys(word, True)) & set(linkage.name_keys(other, False)), (word, other)
 
 
+def test_roles_are_found_as_by_trying_each():
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("ABCDE34"), rng.integers(3, 9)))
+    vocabulary = names.Vocabulary({w: w[:4] for w in (word() for _ in range(150))})
+    for w in [*vocabulary.roles, *(word() for _ in range(400))]:
+        begin = {r for x, r in vocabulary.roles.items() if x.startswith(w)}
+        assert vocabulary.short_role(w) == (begin.pop() if len(begin) == 1 else None)
+        most = 2 if len(w) >= 7 else 1 if len(w) >= 5 else 0
+        best = min(((d, x) for x in vocabulary.roles if most and (d := names.edits(w, x, most)) <= most), default=None)
+        assert vocabulary.near_role(w) == (vocabulary.roles[best[1]] if best else None)
+
+
+def test_linkage_letters_and_bounded_distances(spark):
+    words = ["ABBCCCDZ", "", "A3B", "EAEAEAEA", "X" * 70]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", names.letter_bits("w").alias("bits")).collect()
+    assert [names.letters_of(r.w) for r in got] == [r.bits for r in got]
+    name = "array<struct<label:string,glued:string,turned:string>>"
+    pair = spark.createDataFrame([([("", "ABCDEFGHIJKL", "")], [("", a, b) for a, b in held]) for held in ([("ABCXEFGXIJKL", "")], [("XXXXXXXXXXXX", ""), ("GHIJKLABCDEF", "ABCDEFGHIJKL")], [("XXXXXXGHIJKL", "")], [])], f"a {name}, b {name}")
+    rest = {c: F.lit("") for c in ("postal", "department", "city", "number", "street")}
+    x, y = (pair.select(F.monotonically_increasing_id().alias("id"), F.col(c).alias("names")).withColumns(rest) for c in "ab")
+    graded = x.alias("x").join(y.alias("y"), F.col("x.id") == F.col("y.id")).select("x.id", linkage.levels("x", "y")[0])
+    assert [tuple(r.nearest)[:2] for r in graded.orderBy("id").collect()] == [(1, 1), (0, 1), (4, 1), (3, 1)]
+
+
 def test_linkage_words_and_weights():
     assert linkage.city_name("St. Liigny Cedex 2") == linkage.city_name("SAINT-LIIGNY") == "SAINTLIIGNY"
     assert linkage.city_name("TAAC S/S PAIPLOR") == linkage.city_name("Taac-sous-Paiplor") and linkage.city_name("Neley/Nelje") == linkage.city_name("NELEY-SUR-NELJE")
